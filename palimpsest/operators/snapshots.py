@@ -69,61 +69,71 @@ def snapshot_tables(manifests: DataFrame, tracked: list[Tracked]) -> tuple[DataF
     return one.drop("entries"), entries.where("table_name is not null")
 
 
-def complete_snapshots(snapshots: DataFrame, entries: DataFrame, index: DataFrame, tracked: list[Tracked]) -> DataFrame:
+def complete_snapshots(snapshots: DataFrame, entries: DataFrame, held_sizes: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """(workspace, table_name, seq, manifest, same): complete snapshots of each table in order of time.
 
     Complete: each entry's segment is there with exactly row_count rows; a snapshot without entries of a table is a
     complete empty one. `same`: the version is that of the snapshot before (null for the first).
     """
-    sizes = index.select("segment", "n_rows")
+    sizes = held_sizes
     ok = entries.join(sizes, "segment", "left").groupBy("manifest", "table_name").agg(F.min(F.coalesce(F.col("n_rows") == F.col("row_count"), F.lit(False))).alias("ok"))
     tables = F.array(*[F.lit(t.name) for t in tracked]) if tracked else F.array().cast("array<string>")
     each = snapshots.withColumn("table_name", F.explode(tables)).join(ok, ["manifest", "table_name"], "left").where(F.coalesce("ok", F.lit(True)))
     by_time = W.partitionBy("workspace", "table_name").orderBy("taken_at", "manifest")
-    return each.select("workspace", "table_name", F.row_number().over(by_time).alias("seq"), "manifest", (F.lag("schema_version").over(by_time) == F.col("schema_version")).alias("same"), F.lead("manifest").over(by_time).alias("later"), (F.lead("schema_version").over(by_time) == F.col("schema_version")).alias("later_same"))
+    return each.select("workspace", "table_name", F.row_number().over(by_time).alias("seq"), "manifest", (F.lag("schema_version").over(by_time) == F.col("schema_version")).alias("same"), F.lag("manifest").over(by_time).alias("before"), F.lead("manifest").over(by_time).alias("later"), (F.lead("schema_version").over(by_time) == F.col("schema_version")).alias("later_same"))
 
 
-def snapshot_changes(snapshots: DataFrame, entries: DataFrame, index: DataFrame, tracked: list[Tracked]) -> DataFrame:
+def segment_sizes(segments: DataFrame) -> DataFrame:
+    """(segment, n_rows): number of elements of each segment that is there, without parsing any."""
+    held = segments.select(reference(F.col("segment")).alias("segment"), F.size("rows").cast("long").alias("n_rows"))
+    return held.where("segment is not null and n_rows >= 0").groupBy("segment").agg(F.max("n_rows").alias("n_rows"))
+
+
+def snapshot_changes(snapshots: DataFrame, entries: DataFrame, index: DataFrame, sizes: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """(workspace, table_name, pk, manifest, change, old_at, new_at): keys added, removed or changed since the complete snapshot before.
 
-    Rows are bucketed by key; in a bucket the index of the last snapshot (key to hash) is probed with the rows of the
-    next, which then take its place. Only hashes and places (segment, row) move; values are fetched later by place, for
-    changes alone. Between snapshots of unlike version nothing is reported.
+    Rows are bucketed by key once; in a bucket the index of the last snapshot (key to hash) is probed with the rows of the
+    next, which then take its place. Only hashes and places (entry of the manifest, element of its segment) move; values
+    are fetched later by place, for changes alone. Between snapshots of unlike version nothing is reported.
     """
-    seqs = cut(complete_snapshots(snapshots, entries, index, tracked))
-    places = entries.join(seqs.select("manifest", "table_name", "seq", "same", "later_same", F.col("later").isNotNull().alias("more")), ["manifest", "table_name"])
-    rows = places.join(index.select("segment", "items"), "segment").withColumn("i", F.explode("items"))
+    seqs = cut(complete_snapshots(snapshots, entries, sizes, tracked))
+    places = entries.drop("row_count").join(seqs.select("manifest", "table_name", "seq", "same", "later_same", F.col("later").isNotNull().alias("more")), ["manifest", "table_name"]).drop("manifest")
+    rows = places.join(index.select("segment", "items"), "segment").select("workspace", "table_name", "pos", "seq", "same", "later_same", "more", F.inline("items"))
+    key = ("workspace", "table_name", "pk")
     state = (
-        rows.groupBy("workspace", "table_name", F.col("i.pk").alias("pk"), "seq", "same", "later_same", "more")
-        .agg(F.max(F.struct("pos", F.col("i.at").alias("at"), F.col("i.gone").alias("gone"), F.col("i.h").alias("h"), "segment")).alias("m"))
+        rows.repartition(*key).groupBy(*key, "seq", "same", "later_same", "more")
+        .agg(F.max(F.struct("pos", "at", "gone", "h")).alias("m"))
         .where("not m.gone")
-    )
-    by_key = W.partitionBy("workspace", "table_name", "pk").orderBy("seq")
-    place = F.struct("m.segment", "m.at")
-    probed = state.select("workspace", "table_name", "pk", "seq", "same", "later_same", "more", F.col("m.h").alias("h"), place.alias("here"), F.lag("seq").over(by_key).alias("s0"), F.lag("m.h").over(by_key).alias("h0"), F.lag(place).over(by_key).alias("there"), F.lead("seq").over(by_key).alias("s1"))
+    )
+    by_key = W.partitionBy(*key).orderBy("seq")
+    place = F.struct("m.pos", "m.at")
+    probed = state.select(*key, "seq", "same", "later_same", "more", F.col("m.h").alias("h"), place.alias("here"), F.lag("seq").over(by_key).alias("s0"), F.lag("m.h").over(by_key).alias("h0"), F.lag(place).over(by_key).alias("there"), F.lead("seq").over(by_key).alias("s1"))
     kept = F.coalesce(F.col("s0") == F.col("seq") - 1, F.lit(False))
     new = F.when(F.col("same") & ~kept, "added").when(F.col("same") & (F.col("h") != F.col("h0")), "changed")
     out = F.array(
         F.struct(F.col("seq").alias("seq"), new.alias("change"), F.when(kept, F.col("there")).alias("old_at"), F.col("here").alias("new_at")),
-        F.struct((F.col("seq") + 1).alias("seq"), F.when(F.col("more") & F.col("later_same") & ~F.coalesce(F.col("s1") == F.col("seq") + 1, F.lit(False)), "removed").alias("change"), F.col("here").alias("old_at"), F.lit(None).cast("struct<segment:string,at:int>").alias("new_at")),
+        F.struct((F.col("seq") + 1).alias("seq"), F.when(F.col("more") & F.col("later_same") & ~F.coalesce(F.col("s1") == F.col("seq") + 1, F.lit(False)), "removed").alias("change"), F.col("here").alias("old_at"), F.lit(None).cast("struct<pos:int,at:int>").alias("new_at")),
     )
-    changes = probed.select("workspace", "table_name", "pk", F.inline(F.filter(out, lambda c: c.change.isNotNull())))
-    return changes.join(seqs.select("workspace", "table_name", "seq", "manifest"), ["workspace", "table_name", "seq"]).select("workspace", "table_name", "pk", "manifest", "change", "old_at", "new_at")
+    changes = probed.select(*key, F.inline(F.filter(out, lambda c: c.change.isNotNull())))
+    named = seqs.select("workspace", "table_name", "seq", "manifest", F.col("before").alias("manifest_before"))
+    return changes.join(named, ["workspace", "table_name", "seq"]).select(*key, "manifest", "manifest_before", "change", "old_at", "new_at")
 
 
 def diff_snapshots(manifests: DataFrame, segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """snapshot_changes over stored manifests and segments."""
     snapshots, entries = snapshot_tables(manifests, tracked)
-    index = cut(segment_index(segments, tracked))
-    return snapshot_changes(snapshots, entries, index, tracked)
+    return snapshot_changes(snapshots, entries, segment_index(segments, tracked), segment_sizes(segments), tracked)
 
 
-def fetch_values(changes: DataFrame, segments: DataFrame) -> DataFrame:
-    """changes with old_row and new_row (envelopes as stored), read for changed keys only."""
-    wanted = changes.select(F.explode(F.array("old_at", "new_at")).alias("p")).where("p is not null").select("p.segment", "p.at").distinct()
+def fetch_values(changes: DataFrame, manifests: DataFrame, segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
+    """changes with old_row and new_row (elements as stored), read for changed keys only."""
+    entries = snapshot_tables(manifests, tracked)[1].select(F.col("manifest").alias("m"), "pos", "segment")
+    for side, manifest in (("old", "manifest_before"), ("new", "manifest")):
+        changes = changes.join(entries, (F.col(manifest) == F.col("m")) & (F.col(f"{side}_at.pos") == F.col("pos")), "left").withColumn(f"{side}_in", F.struct("segment", f"{side}_at.at")).drop("m", "pos", "segment")
+    wanted = changes.select(F.explode(F.array("old_in", "new_in")).alias("p")).where("p.segment is not null").select("p.segment", "p.at").distinct()
     held = segments.select(reference(F.col("segment")).alias("segment"), "rows").where("rows is not null").join(wanted.select("segment").distinct(), "segment", "left_semi")
     values = held.select("segment", F.posexplode("rows").alias("at", "value")).join(wanted, ["segment", "at"]).groupBy("segment", "at").agg(F.max("value").alias("value"))
     for side in ("old", "new"):
-        v = values.select(F.struct("segment", "at").alias("place"), F.col("value").alias(f"{side}_row"))
-        changes = changes.join(v, changes[f"{side}_at"] == v.place, "left").drop("place")
-    return changes
+        v = values.select(F.col("segment").alias("s"), F.col("at").alias("a"), F.col("value").alias(f"{side}_row"))
+        changes = changes.join(v, (F.col(f"{side}_in.segment") == v.s) & (F.col(f"{side}_in.at") == v.a), "left").drop("s", "a", f"{side}_in")
+    return changes.drop("old_at", "new_at")

@@ -38,7 +38,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.fetch_values(_diff(spark, d), table(spark, d, "segments")).drop("old_at", "new_at")
+    tracked = tracked_list(table(spark, d, "tracked_tables"))
+    return snapshots.fetch_values(_diff(spark, d), table(spark, d, "segment_manifests"), table(spark, d, "segments"), tracked)
 
 
 def _versioned(spark: SparkSession, d: str) -> DataFrame:
