@@ -8,6 +8,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Version and payload types of a checkpoint envelope.
 ENVELOPE_VERSION = 1
@@ -76,16 +77,16 @@ def decode_checkpoint(text: str) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
     return out[0], out[1]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     return s.map(canonical_text, na_action="ignore")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def json_depth(s: pd.Series) -> pd.Series:
     return s.map(depth_of).astype("Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def thread_branch(s: pd.Series) -> pd.Series:
     return s.map(branch_of_thread, na_action="ignore")

@@ -64,9 +64,6 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
         moved = state.where("anc is not null").join(far, "anc").select(
             "id", F.col("anc2").alias("anc"), F.try_add("off", "off2").alias("off"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("top2").alias("top"), *([F.concat("path2", "path").alias("path")] if paths else [])
         )
-        if paths:
-            # what a whole round cannot finish may be cyclic; its path is not kept
-            moved = moved.withColumn("path", F.when(F.col("dist") <= 2 * links.count(), F.col("path")))
         state = cut(state.where("anc is null").unionByName(moved))
     done = state.where("anc is null")
     tree = done.join(links, "id").join(sizes, "id").select("id", "parent", F.col("top").alias("root"), F.col("dist").alias("depth"), "size", F.col("off").alias("pre"), F.lit("tree").alias("state"), *(["path"] if paths else []))
