@@ -241,13 +241,22 @@ def longest_stretch(m: np.ndarray) -> int:
     return best
 
 
+def densest(rows: np.ndarray) -> int:
+    """Most true values among LEAST_SPAN consecutive ones."""
+    total = np.concatenate(([0], np.cumsum(rows)))
+    return int((total[LEAST_SPAN:] - total[:-LEAST_SPAN]).max()) if len(rows) >= LEAST_SPAN else 0
+
+
 def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -> bool:
-    """The exact check: the item's words in order, altered letters, single other words and insertions allowed."""
+    """The exact check: the item's words in order, altered letters, single other words and insertions allowed.
+
+    Passed over at once: items of whose words no LEAST_SPAN in a row are there in number, in whatever order.
+    """
     first, last = np.searchsorted(w.text, [text, text + 1])
     lo, hi = max(lo - 40, first), min(hi + 40, last)
     it = q.words[item]
     m = it[:, None] == w.hashes[None, lo:hi]
-    if m.any(axis=1).sum() < LEAST_SPAN * LEAST_SHARE - 3:
+    if densest(m.any(axis=1)) < LEAST_SPAN // 2:
         return False
     if longest_run(m) >= STRETCH:
         return True
@@ -264,9 +273,11 @@ def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -
     for i, x in enumerate(q.strings[item]):
         if len(x) >= 3:
             for j in ends.get("^" + x[0], []) + ends.get(x[-1] + "$", []):
-                if not m[i, j] and alike(x, names[j]):
+                y = names[j]
+                # one of the outer two letters at either end is kept in all but the longest words
+                if -2 <= len(x) - len(y) <= 2 and (x[:2] == y[:2] or x[-2:] == y[-2:] or len(x) < 5) and alike(x, y):
                     m[i, j] = True
-    return longest_stretch(m) >= LEAST_SPAN
+    return densest(m.any(axis=1)) >= int(LEAST_SHARE * LEAST_SPAN) - 1 and longest_stretch(m) >= LEAST_SPAN
 
 
 def find(documents: DataFrame, items: DataFrame) -> DataFrame:
