@@ -1 +1,7 @@
-"""Readers and writers."""
+"""Readers: tables of a folder, change feeds, prompt folders."""
+
+from ..session import table
+from ..store import git_head, parse_backend, parse_store_spec, read_prompts
+from ..streaming.capture import read_feed
+
+__all__ = ["git_head", "parse_backend", "parse_store_spec", "read_feed", "read_prompts", "table"]
