@@ -10,7 +10,7 @@ import numpy as np
 
 #: Character classes.
 SYMBOL, LOWER, UPPER, DIGIT, SPACE, BREAK, MARK = range(7)
-#: Texts are worked on in groups of about this many characters, which bounds a worker's memory; a longer text is a group by itself.
+#: Texts are worked on in groups of about this many characters, which bounds a worker's memory; longer texts are cut into slices.
 GROUP = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -47,23 +47,37 @@ def tables() -> Tables:
     return Tables(kind, fold, vowel)
 
 
-def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) of consecutive groups; null counts as empty."""
-    at, held, size = 0, [], 0
+def slices(text: str, overlap: int = 0) -> Iterator[str]:
+    """A text in slices of at most GROUP characters, cut after a line break or else white space; each begins `overlap` characters before its cut."""
+    at = 0
+    while True:
+        end = at + GROUP
+        if end >= len(text):
+            yield text[at:]
+            return
+        cut = max(text.rfind("\n", at + GROUP // 2, end), 0) or max(text.rfind(" ", at + GROUP // 2, end), 0) or end - 1
+        yield text[at : cut + 1]
+        at = max(cut + 1 - overlap, at + 1)
+
+
+def groups(texts: list[str | None], overlap: int = 0) -> Iterator[tuple[list[int], list[str]]]:
+    """(indices, texts) of groups of about GROUP characters; null counts as empty, longer texts come in slices."""
+    index, held, size = [], [], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        if held and size + len(t) > GROUP:
-            yield at, held
-            at, held, size = i, [], 0
-        held.append(t)
-        size += len(t) + 1
+        for part in slices(t or "", overlap):
+            if held and size + len(part) > GROUP:
+                yield index, held
+                index, held, size = [], [], 0
+            index.append(i)
+            held.append(part)
+            size += len(part) + 1
     if held:
-        yield at, held
+        yield index, held
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, starts): the texts, each followed by a line break, as one array; starts has one entry more than there are texts."""
-    joined = "\n".join(texts) + "\n"
+    joined = "\n".join(texts) + "\n" if texts else ""
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     return codes, np.concatenate(([0], np.cumsum(lengths)))

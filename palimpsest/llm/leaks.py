@@ -22,6 +22,8 @@ HASHES, SOUGHT, CONTAINED = 32, 0.4, 0.3
 PARTITIONS = (8, 16, 32, 64)
 #: A stretch is accepted from this span of item words, of which this share agree (words at its ends may be altered).
 LEAST_SPAN, LEAST_SHARE = 14, 0.8
+#: Slices of very long texts overlap by this many characters, more than any stretch that is looked at.
+OVERLAP = 4_000
 #: Items are searched in blocks of this many, so what is sent to executors is bounded.
 ITEMS_AT_ONCE = 20_000
 
@@ -300,11 +302,11 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
             for b in batches:
                 docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
                 out_d, out_i = [], []
-                for at, group in codes.groups(texts):
+                for index, group in codes.groups(texts, OVERLAP):
                     w = codes.folded_words(group, t)
                     for text, item, lo, hi in candidate_pairs(w, query):
                         if verified(w, query, text, item, lo, hi):
-                            out_d.append(docs[at + text])
+                            out_d.append(docs[index[text]])
                             out_i.append(int(ids[item]))
                 yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_i, pa.int64())], ["doc_id", "item_id"])
 

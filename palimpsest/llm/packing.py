@@ -100,14 +100,14 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
 
 
 def sizes_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, size): number of tokens of each text; null and blank texts have size 0. Repeated doc_ids are separate items, numbered by `copy`."""
+    """(doc_id, size): number of tokens of each text; null and blank texts have size 0. Rows without id are left out; repeated ids are separate items."""
     return documents.where("doc_id is not null").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"))
 
 
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     """(capacity, doc_id, piece, size): an item whole, or, where it exceeds the capacity by itself, in pieces that fill it, the last one with the rest."""
     capacities = F.broadcast(containers.select(F.col("capacity").cast("long").alias("capacity")).where("capacity > 0").distinct())  # kinds of container
-    each = items.where("size > 0").crossJoin(capacities)
+    each = items.select("doc_id", F.col("size").cast("long").alias("size")).where("doc_id is not null and size > 0").crossJoin(capacities)
     n = F.ceil(F.col("size") / F.col("capacity"))
     piece = F.explode(F.sequence(F.lit(1).cast("long"), n))
     return each.withColumn("piece", piece).withColumn("of", n).select("capacity", "doc_id", "piece", "of", F.when(F.col("piece") < F.col("of"), F.col("capacity")).otherwise(F.col("size") - (F.col("of") - 1) * F.col("capacity")).alias("size"))

@@ -86,7 +86,7 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def measure(texts: list[str], v: Vocabulary) -> tuple[Units, dict[str, np.ndarray]]:
-    """(units, statistics per text)."""
+    """(units, counts per text)."""
     t, n = v.tables, len(texts)
     cp, starts = codes.code_points(texts)
     kind = codes.look(t.kind, cp)
@@ -164,10 +164,9 @@ def measure(texts: list[str], v: Vocabulary) -> tuple[Units, dict[str, np.ndarra
     l_text = np.searchsorted(starts, ls, "right") - 1
     back = np.maximum.accumulate(np.where(inside, np.arange(len(cp)), -1))
     ended = codes.look(v.ending, cp[back[le - 1]]) if len(ls) else np.zeros(0, bool)
-    n_words, n_chars, n_lines = by_text(np.ones(len(ws)), w_text), by_text(chars, u_text), by_text(np.ones(len(ls)), l_text)
     return u, {
-        "n_words": n_words.astype(np.int64), "n_lines": n_lines.astype(np.int64), "mean_word_length": _share(by_text((we - ws).astype(float), w_text), n_words), "symbol_share": _share(by_text(symbols, u_text), n_chars), "digit_share": _share(by_text(digits, u_text), n_chars),
-        "ended_share": _share(by_text(ended.astype(float), l_text), n_lines), "common_share": _share(by_text(common.astype(float), w_text), n_words),
+        "words": by_text(np.ones(len(ws)), w_text), "lines": by_text(np.ones(len(ls)), l_text), "letters": by_text((we - ws).astype(float), w_text), "symbols": by_text(symbols, u_text), "digits": by_text(digits, u_text),
+        "chars": by_text(chars, u_text), "ended": by_text(ended.astype(float), l_text), "common": by_text(common.astype(float), w_text),
     }
 
 
@@ -209,12 +208,29 @@ def viterbi(e: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def label_shares(u: Units, n: int) -> np.ndarray:
-    """Share of each text's characters (without white space) under each label; all 0 for an empty text."""
-    label = viterbi(emissions(u), u.text, n)
+def label_chars(u: Units, n: int) -> np.ndarray:
+    """Characters (without white space) of each text under each label."""
     out = np.zeros((n, len(LABELS)))
-    np.add.at(out, (u.text, label), u.chars)
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
+    np.add.at(out, (u.text, viterbi(emissions(u), u.text, n)), u.chars)
+    return out
+
+
+def describe(texts: list[str | None], v: Vocabulary) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(counts, characters by label) of each text; the counts of a very long text's slices are added up."""
+    counts: dict[str, np.ndarray] = {}
+    labels = np.zeros((len(texts), len(LABELS)))
+    for index, group in codes.groups(texts):
+        u, c = measure(group, v)
+        np.add.at(labels, index, label_chars(u, len(group)))
+        for name, x in c.items():
+            np.add.at(counts.setdefault(name, np.zeros(len(texts))), index, x)
+    return counts, labels
+
+
+def classes(labels: np.ndarray) -> np.ndarray:
+    """prose unless more than half of the characters are labelled otherwise, then the largest of list, table and junk."""
+    other = labels[:, 1:].sum(axis=1)
+    return np.where(other * 2 > labels.sum(axis=1), np.array(LABELS[1:])[labels[:, 1:].argmax(axis=1)], LABELS[0])
 
 
 SCHEMA = "doc_id long, n_words long, n_lines long, mean_word_length double, symbol_share double, digit_share double, ended_share double, common_share double, prose double, list double, table double, junk double, text_class string"
@@ -235,13 +251,14 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for at, group in codes.groups(texts):
-                u, s = measure(group, vocab)
-                shares = label_shares(u, len(group))
-                other = shares[:, 1:].sum(axis=1)
-                cls = np.where(other > 0.5, np.array(LABELS[1:])[shares[:, 1:].argmax(axis=1)], LABELS[0])
-                cols = [ids.slice(at, len(group)), *(pa.array(x) for x in s.values()), *(pa.array(shares[:, i]) for i in range(4)), pa.array(cls.tolist(), pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
+            if not len(ids):
+                continue
+            c, labels = describe(texts, vocab)
+            shares = labels / np.maximum(labels.sum(axis=1, keepdims=True), 1)
+            cols = [
+                c["words"].astype(np.int64), c["lines"].astype(np.int64), _share(c["letters"], c["words"]), _share(c["symbols"], c["chars"]), _share(c["digits"], c["chars"]), _share(c["ended"], c["lines"]), _share(c["common"], c["words"]), *shares.T,
+            ]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cols), pa.array(classes(labels).tolist(), pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
 
