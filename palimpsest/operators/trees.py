@@ -32,11 +32,11 @@ def diff_entries(old: DataFrame, new: DataFrame, by: list[str], value: str = "ha
 
 
 def one_each(commits: DataFrame) -> DataFrame:
-    """Commits once each, hashes normalised; of repeated rows the earliest holds."""
+    """Commits once each, hashes normalised; of repeated rows the earliest holds, one without time last."""
     cols = ["branch", "author", "message", "committed_at", "code_sha", "prompts", "tools", "model", "schema_version", "cost_cents", "peer_uid"]
     c = commits.select(reference(F.col("commit_hash")).alias("commit_hash"), reference(F.col("parent")).alias("parent"), reference(F.col("memory_snapshot")).alias("memory_snapshot"), *cols).where("commit_hash is not null")
     rest = [x for x in c.columns if x != "commit_hash"]
-    return c.groupBy("commit_hash").agg(F.min_by(F.struct(*rest), "committed_at").alias("c")).select("commit_hash", "c.*")
+    return c.groupBy("commit_hash").agg(F.min_by(F.struct(*rest), F.coalesce("committed_at", F.lit("9999-12-31").cast("timestamp"))).alias("c")).select("commit_hash", "c.*")
 
 
 def against_parent(commits: DataFrame) -> DataFrame:

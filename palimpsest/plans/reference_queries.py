@@ -70,8 +70,8 @@ def tracked_of(spark: SparkSession, d: str):
 
 
 def manifest_entries(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "segment_manifests").select(reference(F.col("manifest")).alias("manifest"), "stored_at", "entries").where("manifest is not null")
-    one = one.groupBy("manifest").agg(F.min_by("entries", "stored_at").alias("entries"))
+    one = table(spark, d, "segment_manifests").select(reference(F.col("manifest")).alias("manifest"), "stored_at", "taken_at", "entries").where("manifest is not null")
+    one = one.groupBy("manifest").agg(F.min_by("entries", F.coalesce("stored_at", "taken_at")).alias("entries"))
     return one.select("manifest", F.posexplode("entries").alias("pos", "e")).select("manifest", "pos", "e.table_name", "e.pk_lo", "e.pk_hi", reference(F.col("e.segment")).alias("segment"), "e.row_count", F.col("pos").alias("seal_seq"))
 
 
