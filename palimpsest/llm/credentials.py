@@ -27,17 +27,17 @@ _BARE = r"""[^\s"'`,;&()\[\]{}<>\\]+|\$\{[^}\s]*\}|\{\{[^}\n]*\}\}|<[^>\n]*>"""
 #: The rules: name, regex (case ignored) with the value as group v, kind of check for the value.
 RULES = {
     "private_key": (r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<v>[^-]*(?:-{1,4}[^-]+)*)", "key"),
-    "named": (rf"""(?<![a-z0-9]){NAMES}["'`]?[ \t]*(?::[ \t]*[a-z]+[ \t]*=|:=|=>|==?|:)[ \t]*(?:\([ \t]*\r?\n?[ \t]*|[>|][+-]?[ \t]*\r?\n[ \t]+|\\\r?\n[ \t]*)?(?P<v>{_PIECES}|{_BARE})""", "value"),
+    "named": (rf"""(?<![a-z0-9]){NAMES}["'`]?[ \t]*(?::[ \t]*(?:[a-z]+[ \t]+|str|string|bytes)=(?!=)|:=|=>|==?|:)[ \t]*(?:\([ \t]*\r?\n?[ \t]*|[>|][+-]?[ \t]*\r?\n[ \t]+|\\\r?\n[ \t]*)?(?P<v>{_PIECES}|{_BARE})""", "value"),
     "camel": (rf"""[a-z0-9](?-i:Password|Passwd|Token|Secret|ApiKey|AccessKey|Pwd)["'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?P<v>{_PIECES}|{_BARE})""", "value"),
     "option": (rf"""--(?:[a-z]+-){{0,2}}{NAMES}(?:["']?,[ \t]*|[ \t]+|=)(?P<v>{_PIECES}|{_BARE})""", "value"),
     "prose": (rf"""(?<![a-z0-9]){NAMES}(?:[ \t]+(?:is|to|of|was|lautet|ist|est))?[ \t]+(?P<v>`[^`\n]+`|"[^"\n]+"|'[^'\n]+'|[^\s"'`,;()<>{{}}\[\]]+)""", "strong"),
     "login": (r"""(?:login|user|account)[ \t]+\S{1,40}[ \t]*/[ \t]*(?P<v>\S+)""", "strong"),
-    "url": (r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]{0,60}:(?P<v>[^\s@/"'<>]+)@""", "value"),
+    "url": (r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]{0,60}:(?P<v>[^\s@/"'<>]+)@""", "userinfo"),
     "bearer": (r"""(?:bearer|token)[ \t]+(?P<v>[^\s"'`,;<>]{8,})""", "strong"),
     "basic": (r"""basic[ \t]+(?P<v>[a-z0-9+/_-]{8,}={0,2})""", "basic"),
-    "user_option": (r"""(?:curl|wget|http)[^\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']{1,60}:(?P<v>[^\s"']+)""", "value"),
-    "dash_p": (r"""(?:mysql|mariadb|mysqldump|mongo|sshpass|psql|redis-cli)[^\n]*?[ \t]-[pa](?P<v>'[^'\n]+'|"[^"\n]+"|[^\s"'-][^\s"']+)""", "value"),
-    "pair": (r"""auth[ \t]*=[ \t]*(?:\w+)?\([ \t]*["'][^"'\n]*["'][ \t]*,[ \t]*(?P<v>"[^"\n]*"|'[^'\n]*')""", "value"),
+    "user_option": (r"""(?:curl|wget|http)[^\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']{1,60}:(?P<v>[^\s"']+)""", "userinfo"),
+    "dash_p": (r"""(?:mysql|mariadb|mysqldump|mongo|sshpass|psql|redis-cli)[^\n]*?[ \t]-[pa](?P<v>'[^'\n]+'|"[^"\n]+"|[^\s"'-][^\s"']+)""", "userinfo"),
+    "pair": (r"""auth[ \t]*=[ \t]*(?:\w+)?\([ \t]*["'][^"'\n]*["'][ \t]*,[ \t]*(?P<v>"[^"\n]*"|'[^'\n]*')""", "userinfo"),
     "aws": (r"(?<![a-z0-9+/])(?P<v>(?-i:AKIA|ASIA)[A-Z0-9]{16})(?![a-z0-9+/])", "token"),
     "github": (r"(?<![a-z0-9])(?P<v>(?:ghp|gho|ghu|ghs|ghr)_[a-z0-9]{30,}|github_pat_[a-z0-9_]{22,})", "token"),
     "sk": (r"(?<![a-z0-9])(?P<v>sk-ant-[a-z0-9_-]{12,}|sk-proj-[a-z0-9_-]{12,}|(?:sk|rk)_live_[a-z0-9]{12,}|(?:sk|rk)_test_[a-z0-9]{12,})", "token"),
@@ -57,7 +57,11 @@ _LITERAL = re.compile(r"""[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)
 
 
 def _strong(s: str) -> bool:
-    return len(s) >= 8 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not re.fullmatch(r"[\w.-]+\.(?:py|sh|json|ya?ml|md|txt|env|prompt)|v?\d[\d.]*\w{0,3}|[a-z_]+_\d{1,3}|\d+-\w+", s, re.IGNORECASE)
+    """Whether a word of prose looks made up: letters and digits, or letters that change case again and again."""
+    if len(s) < 8 or re.fullmatch(r"[\w.-]+\.(?:py|sh|json|ya?ml|md|txt|env|prompt)|v?\d[\d.]*\w{0,3}|[a-z_]+_\d{1,3}|\d+-\w+", s, re.IGNORECASE):
+        return False
+    mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    return mixed or (len(s) >= 10 and len(re.findall(r"[a-z][A-Z]", s)) >= 2)
 
 
 def _plain_base64(s: str) -> str | None:
@@ -89,7 +93,7 @@ def holds(raw: str, kind: str) -> bool:
         return _strong(value)
     if kind == "token":
         return len(set(value)) >= 6
-    if not quoted and _REFERENCE.fullmatch(value) and not any(c.isdigit() for c in value) and (value.islower() or value.isupper() or "." in value):
+    if kind == "value" and not quoted and _REFERENCE.fullmatch(value) and not any(c.isdigit() for c in value) and (value.islower() or value.isupper() or "." in value):
         return False
     return not re.fullmatch(r"[0-9.,_ -]*|\d+[smhdkKMGB]{0,2}", value) and " " not in value.strip() or (quoted and _strong(value) and value.count(" ") <= 1)
 
