@@ -87,3 +87,10 @@ def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
     ).where("hi > lo + 1").withColumn("block", F.explode(F.sequence(F.floor((F.col("lo") + 1) / width), F.floor((F.col("hi") - 1) / width))))
     nodes = t.select(F.col("id").alias("descendant"), "root", "pre", "depth", F.floor(F.col("pre") / width).alias("block"))
     return ranges.join(nodes, ["root", "block"]).where("pre > lo and pre < hi").select(F.col("above").alias("id"), "descendant", (F.col("depth") - F.col("level")).alias("distance"))
+
+
+def ancestors(tree: DataFrame, of: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) of each id of `of` (a few tips), itself at distance 0: the nodes whose range holds its place."""
+    tips = tree.where("state = 'tree'").join(of.select("id").distinct(), "id").select("id", "root", F.col("pre").alias("at"), F.col("depth").alias("level"))
+    nodes = tree.where("state = 'tree'").select(F.col("id").alias("ancestor"), "root", "pre", "size", "depth")
+    return nodes.join(tips, "root").where("pre <= at and at < pre + size").select("id", "ancestor", (F.col("level") - F.col("depth")).alias("distance"))

@@ -97,7 +97,9 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     met = left.join(right, ["table_name", "next", "new", "pk"])
     rate = met.groupBy("table_name", F.col("next").alias("version"), F.col("field").alias("old"), "new").agg(F.avg((F.col("value") == F.col("value2")).cast("double")).alias("rate"), F.count("*").alias("keys"))
     # chance: how often values of unrelated keys would agree
-    share = border.groupBy("table_name", "version", "field", "value").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("table_name", "version", "field")))
+    share = border.groupBy("table_name", "version", "field", "value").agg(F.count("*").alias("n"))
+    total = F.broadcast(share.groupBy("table_name", "version", "field").agg(F.sum("n").alias("total")))  # one row per candidate field
+    share = share.join(total, ["table_name", "version", "field"]).withColumn("p", F.col("n") / F.col("total"))
     p = share.select("table_name", F.col("version").alias("before"), F.col("field").alias("old"), "value", "p")
     q = share.select("table_name", "version", F.col("field").alias("new"), "value", F.col("p").alias("q"))
     chance = pairs.join(p, ["table_name", "before", "old"]).join(q, ["table_name", "version", "new", "value"]).groupBy("table_name", "version", "old", "new").agg(F.sum(F.col("p") * F.col("q")).alias("chance"))

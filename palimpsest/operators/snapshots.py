@@ -13,6 +13,7 @@ from ..functions.canonical import envelope, parse_object, plain, value_hash
 from ..functions.keys import reference
 from ..functions.names import Tracked, resolve, resolver
 from ..session import cut
+from .spread import rank_within
 
 _ITEM = pa.struct([("pk", pa.string()), ("gone", pa.bool_()), ("h", pa.int64()), ("at", pa.int32())])
 
@@ -21,7 +22,7 @@ def segment_index(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """(segment, n_rows, items): each stored segment once, with key, hash and place of its rows.
 
     Of repeated rows the one with most elements holds (content is the same, some are cut). Items without a readable key
-    are counted but have no key. The hash is over the row by value, without the key field.
+    are counted but have no key; of several for one key the last is kept, which decides in any snapshot. The hash is over the row by value, without the key field.
     """
     pk = {t.name: t.pk for t in tracked}
     known = resolver(tracked)
@@ -31,7 +32,7 @@ def segment_index(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
             out = []
             for name, rows in zip(b.column("table_name").to_pylist(), b.column("rows").to_pylist()):
                 key = pk.get(known.get((name or "").replace('"', "").strip().lower(), ""))
-                items = []
+                items: dict[str, dict] = {}
                 for at, text in enumerate(rows):
                     x = parse_object(text)
                     if x is None or key is None:
@@ -39,8 +40,8 @@ def segment_index(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
                     op, row = envelope(x)
                     k = plain(row.pop(key, None))
                     if k is not None and op in ("insert", "update", "delete"):
-                        items.append({"pk": k, "gone": op == "delete", "h": value_hash(row), "at": at})
-                out.append(items)
+                        items[k] = {"pk": k, "gone": op == "delete", "h": value_hash(row), "at": at}
+                out.append(list(items.values()))
             yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("n_rows"), pa.array(out, pa.list_(_ITEM))], ["segment", "n_rows", "items"])
 
     stored = segments.select(reference(F.col("segment")).alias("segment"), "table_name", "rows").where("segment is not null and rows is not null")
@@ -79,8 +80,13 @@ def complete_snapshots(snapshots: DataFrame, entries: DataFrame, held_sizes: Dat
     ok = entries.join(sizes, "segment", "left").groupBy("manifest", "table_name").agg(F.min(F.coalesce(F.col("n_rows") == F.col("row_count"), F.lit(False))).alias("ok"))
     tables = F.array(*[F.lit(t.name) for t in tracked]) if tracked else F.array().cast("array<string>")
     each = snapshots.withColumn("table_name", F.explode(tables)).join(ok, ["manifest", "table_name"], "left").where(F.coalesce("ok", F.lit(True)))
-    by_time = W.partitionBy("workspace", "table_name").orderBy("taken_at", "manifest")
-    return each.select("workspace", "table_name", F.row_number().over(by_time).alias("seq"), "manifest", (F.lag("schema_version").over(by_time) == F.col("schema_version")).alias("same"), F.lag("manifest").over(by_time).alias("before"), F.lead("manifest").over(by_time).alias("later"), (F.lead("schema_version").over(by_time) == F.col("schema_version")).alias("later_same"))
+    group = ["workspace", "table_name"]
+    ranked = cut(rank_within(each.select(*group, "manifest", "taken_at", "schema_version"), group, ["taken_at", "manifest"], "seq"))
+    # neighbours by equality of (group, place): no task sees all snapshots of a workspace
+    before = ranked.select(*group, (F.col("seq") + 1).alias("seq"), F.col("manifest").alias("before"), F.col("schema_version").alias("v0"))
+    after = ranked.select(*group, (F.col("seq") - 1).alias("seq"), F.col("manifest").alias("later"), F.col("schema_version").alias("v1"))
+    both = ranked.join(before, [*group, "seq"], "left").join(after, [*group, "seq"], "left")
+    return both.select(*group, "seq", "manifest", (F.col("v0") == F.col("schema_version")).alias("same"), "before", "later", (F.col("v1") == F.col("schema_version")).alias("later_same"))
 
 
 def segment_sizes(segments: DataFrame) -> DataFrame:

@@ -316,9 +316,8 @@ def _tip(spark, d):
 
 
 def _history(spark, d):
-    t = hierarchy.hierarchy(hierarchy.links_of(table(spark, d, "commits"), F.col("commit_hash"), F.col("parent")), paths=True)
-    path = t.join(_tip(spark, d), "id").select(F.posexplode(F.reverse("path")).alias("depth", "commit_hash"))
-    return path.select("commit_hash", F.col("depth").cast("long").alias("depth"))
+    t = hierarchy.hierarchy(hierarchy.links_of(table(spark, d, "commits"), F.col("commit_hash"), F.col("parent")))
+    return hierarchy.ancestors(t, _tip(spark, d)).select(F.col("ancestor").alias("commit_hash"), F.col("distance").alias("depth"))
 
 
 @query(f"{WALK} SELECT commit_hash, depth::BIGINT AS depth FROM w")

@@ -264,10 +264,9 @@ class Store:
             raise SchemaMismatch(table)
         if not refs:
             raise NotFound(table)
-        pk, out = self.keys[table], None
-        for r in refs:
-            df = self.spark.read.parquet(r["path"]).withColumn("_seal", F.lit(r["seal_seq"]))
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        pk = self.keys[table]
+        scan = self.spark.read.option("mergeSchema", True).option("basePath", str(self.root / "segments")).parquet(*[r["path"] for r in refs])
+        out = scan.withColumn("_seal", F.split_part("seal_seq", F.lit("-"), F.lit(1)).cast("long")).drop("table", "seal_seq")
         cut = out.where("_op = 'truncate'").agg(F.max(F.struct("_seal", "_at")).alias("t"))
         rest = [c for c in out.columns if c != pk]
         last = out.where("_op <> 'truncate'").groupBy(pk).agg(F.max_by(F.struct(*rest), F.struct("_seal", "_at")).alias("e"))
