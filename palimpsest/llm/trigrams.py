@@ -96,7 +96,8 @@ def required(pattern: str) -> list[frozenset[str]]:
     best = max([*conditions, *([strings] if strings else [])], key=_weight, default=set())
     if _weight(best) < 3:
         raise ValueError(f"no required trigram in {pattern!r}")
-    return sorted({_grams(s) for s in best}, key=sorted)
+    alternatives = {_grams(s) for s in best}
+    return sorted((a for a in alternatives if not any(b < a for b in alternatives)), key=sorted)  # a weaker one covers it
 
 
 def chunks(texts: DataFrame) -> DataFrame:
@@ -138,7 +139,9 @@ def candidates(posted: DataFrame, rules: dict[str, list[frozenset[str]]]) -> Dat
     The table of alternatives is as large as the rules, so it is broadcast; the intersection counts, per chunk and
     alternative, how many of its postings' trigrams met.
     """
-    table = [(g, r, i, len(alt)) for r, alts in rules.items() for i, alt in enumerate(alts) for g in sorted(alt)]
-    wanted = F.broadcast(posted.sparkSession.createDataFrame(table, "gram string, rule string, alt int, need int"))
-    met = posted.join(wanted, "gram").groupBy("fid", "chunk", "rule", "alt", "need").agg(F.count("*").alias("n")).where("n = need")
-    return met.groupBy("fid", "chunk").agg(F.collect_set("rule").alias("rules"))  # at most one entry per rule
+    spark = posted.sparkSession
+    ids = {alt: i for i, alt in enumerate(sorted({a for alts in rules.values() for a in alts}, key=sorted))}
+    wanted = F.broadcast(spark.createDataFrame([(g, i, len(alt)) for alt, i in ids.items() for g in sorted(alt)], "gram string, alt int, need int"))
+    owners = F.broadcast(spark.createDataFrame([(ids[alt], r) for r, alts in rules.items() for alt in alts], "alt int, rule string"))
+    met = posted.join(wanted, "gram").groupBy("fid", "chunk", "alt", "need").agg(F.count("*").alias("n")).where("n = need")
+    return met.join(owners, "alt").groupBy("fid", "chunk").agg(F.collect_set("rule").alias("rules"))  # at most one entry per rule
