@@ -33,7 +33,7 @@ def kind_of(v: Column) -> Column:
 
 
 def versioned_rows(events: DataFrame, segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
-    """Inserted and updated rows of both feeds as (table_name, version, pk, seq, v); v is the row as Variant.
+    """Inserted and updated rows of both feeds as (table_name, version, seq, v); v is the row as Variant.
 
     Rows that do not parse to an object, unknown tables and deletes are left out; seq orders rows within a version.
     """
@@ -43,12 +43,18 @@ def versioned_rows(events: DataFrame, segments: DataFrame, tracked: list[Tracked
     both = a.unionByName(b).where("table_name is not null and version is not null")
     op = F.coalesce(F.when(F.col("op").isNull(), clean(F.try_variant_get("v0", "$.op", "string"))), F.col("op"), F.lit("insert"))
     rows = once(with_body(both), keep=op.isin("insert", "update") & F.schema_of_variant("v").startswith("OBJECT")).where("keep")
-    return with_key(rows, tracked).select("table_name", "version", "pk", "seq", "v")
+    return rows.select("table_name", "version", "seq", "v")
+
+
+def keyed(rows: DataFrame, tracked: list[Tracked]) -> DataFrame:
+    """versioned_rows() with the plain key `pk` of each row, null where it has none."""
+    return with_key(rows, tracked)
 
 
 def fields_of(rows: DataFrame) -> DataFrame:
-    """One row per row and field: (…, field, value)."""
-    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select("table_name", "version", "pk", "seq", F.col("key").alias("field"), "value")
+    """One row per row and field: the row's columns but v, (pos, field, value); an empty row once with nulls."""
+    kept = [c for c in rows.columns if c != "v"]
+    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select(*kept, "pos", F.col("key").alias("field"), "value")
 
 
 def layouts(rows: DataFrame) -> DataFrame:
@@ -58,13 +64,14 @@ def layouts(rows: DataFrame) -> DataFrame:
     version when at least a tenth of the version's rows carry it, null or not; its kind is that of most non-null values
     (ties: the wider one in the lattice). So at most ten times a row's width remain per version: a bounded result.
     """
-    cells = fields_of(rows).select("table_name", "version", "field", kind_of(F.col("value")).alias("kind"))
-    counts = cells.groupBy("table_name", "version", "field", "kind").agg(F.count("*").alias("n"))
-    total = rows.groupBy("table_name", "version").agg(F.count("*").alias("rows"))
+    cells = fields_of(rows).select("table_name", "version", "field", kind_of(F.col("value")).alias("kind"), F.coalesce(F.col("pos") == 0, F.lit(True)).alias("first"))
+    # each row has one first field, so one pass counts rows as well
+    counts = cut(cells.groupBy("table_name", "version", "field", "kind").agg(F.count("*").alias("n"), F.count_if("first").alias("rows")))
+    total = counts.groupBy("table_name", "version").agg(F.sum("rows").alias("rows"))
     rank = {k: i for i, k in enumerate(("boolean", "number", "text", "array", "object"))}
     wide = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for k, i in rank.items()])
     each = counts.groupBy("table_name", "version", "field").agg(F.sum("n").alias("n"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", wide.alias("w"), "kind"))).alias("m"))
-    return each.join(total, ["table_name", "version"]).where(F.col("n") >= LEAST_SHARE * F.col("rows")).select("table_name", "version", "field", (F.col("n") / F.col("rows")).alias("share"), F.col("m.kind").alias("kind"), "n")
+    return each.where("field is not null").join(total, ["table_name", "version"]).where(F.col("n") >= LEAST_SHARE * F.col("rows")).select("table_name", "version", "field", (F.col("n") / F.col("rows")).alias("share"), F.col("m.kind").alias("kind"), "n")
 
 
 def versions_in_order(migrations: DataFrame) -> DataFrame:
@@ -81,15 +88,18 @@ def value_text(v: Column) -> Column:
     return F.when(kind_of(v) == "number", F.try_variant_get(v, "$", "double").cast("string")).otherwise(F.to_json(v))
 
 
-def renames(rows: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+def renames(rows: DataFrame, tracked: list[Tracked], gone: DataFrame, come: DataFrame) -> DataFrame:
     """(table_name, version, field, new_field): pairs of a removed and an added field whose values stay the same for the same keys.
 
     gone: (table_name, version, before, field); come: (table_name, version, field). Values are compared at the border of
     the versions: the last value before, the first after. Each field takes part in one rename, the best agreeing.
     """
-    pairs = gone.withColumnRenamed("field", "old").join(come.withColumnRenamed("field", "new"), ["table_name", "version"])
+    pairs = cut(gone.withColumnRenamed("field", "old").join(come.withColumnRenamed("field", "new"), ["table_name", "version"]))
+    # layouts at such a border; a literal condition, since that reaches the scan before rows are parsed
+    border = {v for r in pairs.select("table_name", "version", "before").distinct().collect() for v in ((r.table_name, r.version), (r.table_name, r.before))}
+    at_border = F.concat_ws("\n", "table_name", "version").isin([f"{t}\n{v}" for t, v in sorted(border)])
     wanted = pairs.select("table_name", F.col("before").alias("version"), F.col("old").alias("field"), F.lit(True).alias("last")).unionByName(pairs.select("table_name", "version", F.col("new").alias("field"), F.lit(False).alias("last"))).distinct()
-    cells = fields_of(rows.where("pk is not null")).where("not is_variant_null(value)").join(F.broadcast(wanted), ["table_name", "version", "field"])  # wanted: bounded by layouts()
+    cells = fields_of(keyed(rows.where(at_border), tracked).where("pk is not null")).where("not is_variant_null(value)").join(F.broadcast(wanted), ["table_name", "version", "field"])  # wanted: bounded by layouts()
     border = cells.withColumn("value", value_text(F.col("value"))).groupBy("table_name", "version", "field", "pk", "last").agg(F.max(F.when(F.col("last"), F.struct("seq", "value"))).alias("b"), F.min(F.when(~F.col("last"), F.struct("seq", "value"))).alias("a"))
     border = cut(border.select("table_name", "version", "field", "pk", F.coalesce("b.value", "a.value").alias("value"), "last"))
     left = border.where("last").join(F.broadcast(pairs.select("table_name", F.col("before").alias("version"), F.col("version").alias("next"), F.col("old").alias("field"), "new")), ["table_name", "version", "field"])
@@ -108,7 +118,7 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     return good.withColumn("i", best("old")).withColumn("j", best("new")).where("i = 1 and j = 1").select("table_name", "version", F.col("old").alias("field"), F.col("new").alias("new_field"))
 
 
-def layout_changes(rows: DataFrame, migrations: DataFrame) -> DataFrame:
+def layout_changes(rows: DataFrame, migrations: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """(table_name, schema_version, change, field, new_field): each version of each table against the one before.
 
     Versions no migration brings are not compared. Where a table has no rows under a version, that version has no layout:
@@ -123,7 +133,7 @@ def layout_changes(rows: DataFrame, migrations: DataFrame) -> DataFrame:
     both = cut(old.join(new.select("table_name", "version", "field", "kind", F.lit(True).alias("is_new")), ["table_name", "version", "field"], "full").join(steps.select("table_name", "version", F.col("before").alias("prior")), ["table_name", "version"]).withColumn("was_old", F.col("before").isNotNull()))
     gone = both.where("is_new is null").select("table_name", "version", F.col("prior").alias("before"), "field")
     come = both.where("not was_old").select("table_name", "version", "field")
-    renamed = cut(renames(rows, gone, come))
+    renamed = cut(renames(rows, tracked, gone, come))
     out = lambda df, change, new_field=F.lit(""): df.select("table_name", F.col("version").alias("schema_version"), F.lit(change).alias("change"), "field", new_field.alias("new_field"))
     left = gone.join(renamed.select("table_name", "version", "field"), ["table_name", "version", "field"], "left_anti")
     fresh = come.join(renamed.select("table_name", "version", F.col("new_field").alias("field")), ["table_name", "version", "field"], "left_anti")
@@ -157,7 +167,7 @@ def union_schema(have: DataFrame, changes: DataFrame, table: str) -> list[tuple[
 
 
 def unified(rows: DataFrame, schema: list[tuple[str, str, list[str]]], table: str) -> DataFrame:
-    """All rows of one table under its union schema: version, then one typed column per field (arrays and objects as JSON)."""
+    """All rows (keyed()) of one table under its union schema: version, pk, then one typed column per field (arrays and objects as JSON)."""
     at = lambda n, kind: F.try_variant_get("v", "$['" + n.replace("'", "\\'") + "']", kind)
     num = lambda n: F.coalesce(at(n, "double"), at(n, "boolean").cast("double"), at(n, "string").try_cast("double"))
     text = lambda n: F.coalesce(at(n, "string"), F.to_json(at(n, "variant")))

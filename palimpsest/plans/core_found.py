@@ -48,7 +48,7 @@ def _versioned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return layouts.layout_changes(_versioned(spark, d), table(spark, d, "agentic_migrations"))
+    return layouts.layout_changes(_versioned(spark, d), table(spark, d, "agentic_migrations"), tracked_list(table(spark, d, "tracked_tables")))
 
 
 def p5_layouts(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +58,9 @@ def p5_layouts(spark: SparkSession, d: str) -> DataFrame:
 def _unified(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = _versioned(spark, d)
-        schema = layouts.union_schema(layouts.layouts(rows), layouts.layout_changes(rows, table(spark, d, "agentic_migrations")), name)
-        return layouts.unified(rows, schema, name)
+        tracked = tracked_list(table(spark, d, "tracked_tables"))
+        schema = layouts.union_schema(layouts.layouts(rows), layouts.layout_changes(rows, table(spark, d, "agentic_migrations"), tracked), name)
+        return layouts.unified(layouts.keyed(rows, tracked), schema, name)
 
     return query
 

@@ -24,20 +24,20 @@ def migrations(spark):
 def test_all_changes(spark):
     before = [("0.0.5", {"id": i, "text": f"t{i}", "n": i, "flag": True, "old": f"o{i}"}) for i in range(40)]
     after = [("v0.1.0 ", {"id": i, "body": f"t{i}", "n": str(i), "flag": True, "new": f"z{i}", "tags": []}) for i in range(40)]
-    found = got(layouts.layout_changes(rows_of(spark, before + after), migrations(spark)).select("schema_version", "change", "field", "new_field"))
+    found = got(layouts.layout_changes(rows_of(spark, before + after), migrations(spark), TRACKED).select("schema_version", "change", "field", "new_field"))
     assert found == {("0.1.0", "renamed", "text", "body"), ("0.1.0", "retyped", "n", ""), ("0.1.0", "removed", "old", ""), ("0.1.0", "added", "new", ""), ("0.1.0", "added", "tags", "")}
 
 
 def test_rare_fields_nulls_and_noise(spark):
     a = [("0.1.0", {"id": i, "x": None if i % 2 else i}) for i in range(30)]
     b = [("0.10.0", {"id": i, "x": i, **({"stray": 1} if i < 2 else {})}) for i in range(30)] + [("0.10.0", "{cut"), ("0.10.0", None), ("9.9", {"id": 1, "q": 1}), (None, {"id": 1})]
-    assert got(layouts.layout_changes(rows_of(spark, a + b), migrations(spark))) == set()
+    assert got(layouts.layout_changes(rows_of(spark, a + b), migrations(spark), TRACKED)) == set()
 
 
 def test_equal_flags_are_no_rename(spark):
     a = [("0.0.5", {"id": i, "flag": True}) for i in range(30)]
     b = [("0.1.0", {"id": i, "other": True}) for i in range(30)]
-    found = got(layouts.layout_changes(rows_of(spark, a + b), migrations(spark)).select("change", "field"))
+    found = got(layouts.layout_changes(rows_of(spark, a + b), migrations(spark), TRACKED).select("change", "field"))
     assert found == {("removed", "flag"), ("added", "other")}
 
 
@@ -48,14 +48,14 @@ def test_segments_and_deletes(spark):
 
 
 def test_empty(spark):
-    assert got(layouts.layout_changes(rows_of(spark, []), migrations(spark))) == set()
+    assert got(layouts.layout_changes(rows_of(spark, []), migrations(spark), TRACKED)) == set()
 
 
 def test_one_consistent_table(spark):
     before = [("0.0.5", {"id": i, "text": f"t{i}", "n": i}) for i in range(30)]
     after = [("0.1.0", {"id": i, "body": f"t{i}", "n": str(i), "m": {"b": 1, "a": [True]}}) for i in range(30)]
     rows = rows_of(spark, before + after)
-    schema = layouts.union_schema(layouts.layouts(rows), layouts.layout_changes(rows, migrations(spark)), "messages")
+    schema = layouts.union_schema(layouts.layouts(rows), layouts.layout_changes(rows, migrations(spark), TRACKED), "messages")
     assert schema == [("body", "text", ["body", "text"]), ("id", "number", ["id"]), ("m", "object", ["m"]), ("n", "text", ["n"])]
-    table = layouts.unified(rows, schema, "messages").where("pk = '7'").orderBy("version").collect()
+    table = layouts.unified(layouts.keyed(rows, TRACKED), schema, "messages").where("pk = '7'").orderBy("version").collect()
     assert [tuple(r) for r in table] == [("0.0.5", "7", "t7", 7.0, None, "7"), ("0.1.0", "7", "t7", 7.0, '{"a":[true],"b":1}', "7")]
