@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spread import prefix_sum
 from ..session import cut
-
-#: Fixed value: the WordPunct tokens, by Unicode classes; the no-break space is white space.
-TOKEN = r"[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_\p{IsWhite_Space}]+"
+from . import codes
+
+#: Classes of characters for WordPunct tokens: a token is a maximal run of WORD or of OTHER.
+SPACE, WORD, OTHER = range(3)
+#: White space by Unicode, the no-break space among it.
+WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+def token_class(code: int) -> int:
+    """Letters, marks, digits and the underscore are WORD."""
+    if code in WHITE:
+        return SPACE
+    cat = unicodedata.category(chr(code))
+    return WORD if cat[0] in "LM" or cat == "Nd" or code == 0x5F else OTHER
+
+
+def token_classes() -> np.ndarray:
+    """token_class of each code point of the basic plane."""
+    return np.array([token_class(c) for c in range(65_536)], np.uint8)
+
+
+def count_tokens(texts: list[str | None], classes: np.ndarray) -> np.ndarray:
+    """Number of WordPunct tokens of each text; whole arrays at a time, very long texts in slices."""
+    out = np.zeros(len(texts), np.int64)
+    last, before = -1, SPACE
+    for index, group in codes.groups(texts):
+        cp, starts = codes.code_points(group)
+        kind = codes.look(classes, cp)
+        for c in np.unique(cp[cp > 65_535]):
+            kind[cp == c] = token_class(int(c))
+        begins = (kind != SPACE) & np.concatenate(([True], kind[1:] != kind[:-1]))
+        total = np.concatenate(([0], np.cumsum(begins)))
+        counts = total[starts[1:]] - total[starts[:-1]]
+        for k in [0] if index[0] == last else []:
+            counts[k] -= kind[0] != SPACE and kind[0] == before  # a token that goes on from the slice before
+        np.add.at(out, index, counts)
+        for k in range(1, len(index)):
+            if index[k] == index[k - 1] and kind[starts[k]] != SPACE and kind[starts[k]] == kind[starts[k] - 2] and starts[k] - 2 >= starts[k - 1]:
+                out[index[k]] -= 1
+        last, before = index[-1], int(kind[-2]) if len(kind) > 1 else SPACE
+    return out
 
 
 class RoomTree:
@@ -101,7 +143,13 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
 
 def sizes_of(documents: DataFrame) -> DataFrame:
     """(doc_id, size): number of tokens of each text; null and blank texts have size 0. Rows without id are left out; repeated ids are separate items."""
-    return documents.where("doc_id is not null").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"))
+    classes = token_classes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count_tokens(b.column("text").to_pylist(), classes))], ["doc_id", "size"])
+
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, size long")
 
 
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
