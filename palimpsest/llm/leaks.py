@@ -243,25 +243,27 @@ def longest_stretch(m: np.ndarray) -> int:
     return best
 
 
-def densest(rows: np.ndarray) -> int:
-    """Most true values among LEAST_SPAN consecutive ones."""
+def dense_rows(rows: np.ndarray, least: int) -> tuple[int, int]:
+    """Range of rows around the places where at least `least` of LEAST_SPAN consecutive ones are true; (0, 0) if there is none."""
     total = np.concatenate(([0], np.cumsum(rows)))
-    return int((total[LEAST_SPAN:] - total[:-LEAST_SPAN]).max()) if len(rows) >= LEAST_SPAN else 0
+    at = np.flatnonzero(total[LEAST_SPAN:] - total[:-LEAST_SPAN] >= least) if len(rows) >= LEAST_SPAN else ()
+    return (max(0, at[0] - LEAST_SPAN), min(len(rows), at[-1] + 2 * LEAST_SPAN)) if len(at) else (0, 0)
 
 
 def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -> bool:
     """The exact check: the item's words in order, altered letters, single other words and insertions allowed.
 
-    Passed over at once: items of whose words no LEAST_SPAN in a row are there in number, in whatever order.
+    Only those of the item's words are aligned around which enough are there, in whatever order; elsewhere no stretch can lie.
     """
     first, last = np.searchsorted(w.text, [text, text + 1])
     lo, hi = max(lo - 40, first), min(hi + 40, last)
-    it = q.words[item]
-    m = it[:, None] == w.hashes[None, lo:hi]
-    if densest(m.any(axis=1)) < LEAST_SPAN // 2:
-        return False
+    m = q.words[item][:, None] == w.hashes[None, lo:hi]
+    r0, r1 = dense_rows(m.any(axis=1), LEAST_SPAN // 2)
+    m = m[r0:r1]
     if longest_run(m) >= STRETCH:
         return True
+    if r0 == r1:
+        return False
     near = np.flatnonzero(m.any(axis=0))
     lo2, hi2 = max(0, near[0] - 16), min(hi - lo, near[-1] + 17)
     m = m[:, lo2:hi2].copy()
@@ -272,14 +274,15 @@ def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -
         if x not in known and len(x) >= 3:
             ends.setdefault("^" + x[0], []).append(j)
             ends.setdefault(x[-1] + "$", []).append(j)
-    for i, x in enumerate(q.strings[item]):
+    for i, x in enumerate(q.strings[item][r0:r1]):
         if len(x) >= 3:
             for j in ends.get("^" + x[0], []) + ends.get(x[-1] + "$", []):
                 y = names[j]
                 # one of the outer two letters at either end is kept in all but the longest words
                 if -2 <= len(x) - len(y) <= 2 and (x[:2] == y[:2] or x[-2:] == y[-2:] or len(x) < 5) and alike(x, y):
                     m[i, j] = True
-    return densest(m.any(axis=1)) >= int(LEAST_SHARE * LEAST_SPAN) - 1 and longest_stretch(m) >= LEAST_SPAN
+    r0, r1 = dense_rows(m.any(axis=1), int(LEAST_SHARE * LEAST_SPAN) - 1)
+    return r0 < r1 and longest_stretch(m[r0:r1]) >= LEAST_SPAN
 
 
 def find(documents: DataFrame, items: DataFrame) -> DataFrame:
