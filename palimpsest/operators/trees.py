@@ -98,3 +98,14 @@ def file_directory_conflicts(entries: DataFrame, by: str) -> DataFrame:
     parts = F.split("path", "/")
     above = named.withColumn("parts", parts).where(F.size("parts") > 1).select(by, F.col("name").alias("inside"), F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/"))).alias("path"))
     return named.join(above, [by, "path"]).select(by, F.col("name").alias("file"), "inside")
+
+
+def captured(old: DataFrame, new: DataFrame, pk: str, table: str) -> DataFrame:
+    """(table_name, op, pk, row): the change log that turns `old` into `new`; a delete logs the old row, others the new one, as JSON.
+
+    Rows are compared as JSON text of their typed columns, nulls included. Keys are unique and not null in each state.
+    """
+    side = [d.select(F.col(pk).alias("pk"), F.to_json(F.struct(*sorted(d.columns)), {"ignoreNullFields": "false"}).alias("row")) for d in (old, new)]
+    diff = diff_entries(side[0], side[1], ["pk"], "row")
+    op = F.when(F.col("change") == "added", "insert").when(F.col("change") == "removed", "delete").otherwise("update")
+    return diff.select(F.lit(table).alias("table_name"), op.alias("op"), "pk", F.coalesce("to", "from").alias("row"))

@@ -107,6 +107,36 @@ def write_prompts(folder: str, wanted: dict[str, str]) -> None:
         (root / n).unlink()
 
 
+def load_steps(folder: str, names: list[str], accept_data_loss: bool = False) -> list[tuple[str, str]]:
+    """(name, SQL) of the reverse migrations, newest first as given; unsafe names, missing files and irreversible steps are refused."""
+    out = []
+    for n in names:
+        if "/" in n or "\\" in n or ".." in n:
+            raise InvalidInput(f"migration name {n!r}")
+        path = Path(folder) / f"{n}.down.sql"
+        if not path.is_file():
+            raise MissingReverseMigration(n)
+        sql = path.read_text()
+        first = next((x.strip() for x in sql.splitlines() if x.strip()), "")
+        if first.startswith("-- IRREVERSIBLE") and not accept_data_loss:
+            raise MissingReverseMigration(f"{n} is irreversible")
+        out.append((n, sql))
+    return out
+
+
+@dataclass(frozen=True)
+class PeerPolicy:
+    """Who may write: a list of user ids, or anyone, in which case no id is attested."""
+
+    allowed: frozenset[int] | None = None
+
+    def is_allowed(self, uid: int) -> bool:
+        return self.allowed is None or uid in self.allowed
+
+    def attested(self, uid: int) -> int | None:
+        return None if self.allowed is None else uid
+
+
 def scan_text(text: str, skip_entropy: bool = False) -> list[str]:
     """Kinds of secret in one small text; operators.scanning does it for tables."""
     from math import log2
@@ -273,6 +303,16 @@ class Store:
         kept = last.crossJoin(F.broadcast(cut)).where("e._op <> 'delete' and (t is null or struct(e._seal, e._at) > t)")  # cut: one row
         return kept.select(pk, *[F.col(f"e.{c}").alias(c) for c in rest if c not in ("_op", "_at", "_seal")])
 
+    def reverse_migrate(self, manifest: str, steps: list[tuple[str, Callable[[str, DataFrame], DataFrame]]], version: str) -> str:
+        """A manifest of all tables after the steps (newest first), as full segments under `version`; staged, nothing is published."""
+        tables = {t: self.restore(manifest, t) for t in sorted({r["table"] for r in self._segments(manifest)})}
+        for name, step in steps:
+            tables = {t: step(t, df) for t, df in tables.items()}
+            for t, df in tables.items():
+                if self.keys[t] not in df.columns:
+                    raise MissingReverseMigration(f"{name} loses the key of {t}")
+        return self.snapshot(tables, version)
+
     def diff_rows(self, old: str, new: str, table: str) -> DataFrame:
         """(pk, change, from, to): rows of a table that differ between two manifests, values as JSON."""
         pk = self.keys[table]
@@ -361,11 +401,8 @@ class Store:
             return h
         with self.writing():
             if undo and current.memory_snapshot:
-                for t in {r["table"] for r in self._segments(current.memory_snapshot)}:
-                    df = self.restore(current.memory_snapshot, t)
-                    for n in undo:
-                        df = down[n](t, df)
-                    df.schema  # noqa: B018 - a reverse step that does not analyse fails here, before anything is published
+                # the present tables in the target's layout stay beside the target as a staged manifest
+                self.reverse_migrate(current.memory_snapshot, [(n, down[n]) for n in undo], goal.schema_version or "0.0.0")
             if folder is not None:
                 write_prompts(folder, wanted)
             c = replace(goal, parent=tip, author="rollback", message=f"rollback to {h}", committed_at=now.isoformat(), peer_uid=uid)

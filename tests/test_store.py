@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest import approval
 from palimpsest.errors import ApprovalRefused, Busy, IntegrityFailure, InvalidBranchName, InvalidInput, MissingReverseMigration, NotFound, SchemaMismatch, SecretDetected, StoreError
 from palimpsest.functions import documents
-from palimpsest.store import Checkpointer, Store, git_head, parse_backend, parse_store_spec, read_prompts, write_prompts
+from palimpsest.store import Checkpointer, PeerPolicy, Store, load_steps, git_head, parse_backend, parse_store_spec, read_prompts, write_prompts
 
 NOW = datetime(2026, 5, 1, tzinfo=timezone.utc)
 
@@ -93,7 +93,7 @@ def test_rollback_is_recorded_forward(spark, store, tmp_path):
     m2 = store.snapshot({"episodes": episodes(spark, (1, "a"), (99, "bad"))}, "0.2.0")
     b = store.commit("main", "bad", NOW, prompts={"s.txt": "bad", "x/y.txt": "z"}, memory_snapshot=m2, schema_version="0.2.0")
     write_prompts(folder, {"s.txt": "bad", "x/y.txt": "z"})
-    args = {"now": NOW, "migrations": ["0.1.0", "0.2.0"], "down": {"0.2.0": lambda t, df: df.drop("text")}, "uid": 7, "folder": folder}
+    args = {"now": NOW, "migrations": ["0.1.0", "0.2.0"], "down": {"0.2.0": lambda t, df: df.withColumnRenamed("text", "body")}, "uid": 7, "folder": folder}
     with pytest.raises(ApprovalRefused, match="approval_required"):
         store.rollback(a, **args)
     with pytest.raises(MissingReverseMigration):
@@ -160,6 +160,27 @@ def test_specs(tmp_path):
     assert git_head(str(tmp_path)) is None
 
 
+def test_reverse_migrations(spark, store, tmp_path):
+    m = store.snapshot({"episodes": episodes(spark, (1, "a"), (2, None))}, "0.2.0")
+    back = store.reverse_migrate(m, [("0.2.0", lambda t, df: df.withColumn("n", F.lit(1))), ("0.1.0", lambda t, df: df.drop("text"))], "0.0.0")
+    assert got(store.restore(back, "episodes", "0.0.0")) == {(1, 1), (2, 1)}
+    with pytest.raises(MissingReverseMigration):
+        store.reverse_migrate(m, [("0.2.0", lambda t, df: df.drop("id"))], "0.1.0")
+    (tmp_path / "a.down.sql").write_text("\n -- IRREVERSIBLE\n")
+    (tmp_path / "b.down.sql").write_text("drop table t;\n-- IRREVERSIBLE")
+    assert [n for n, _ in load_steps(str(tmp_path), ["b"])] == ["b"] and load_steps(str(tmp_path), ["a"], accept_data_loss=True)
+    for bad in (["a"], ["c"]):
+        with pytest.raises(MissingReverseMigration):
+            load_steps(str(tmp_path), bad)
+    with pytest.raises(InvalidInput):
+        load_steps(str(tmp_path), ["../a"])
+
+
+def test_peers():
+    assert PeerPolicy(frozenset({5})).is_allowed(5) and not PeerPolicy(frozenset({5})).is_allowed(6) and PeerPolicy(frozenset({5})).attested(5) == 5
+    assert PeerPolicy().is_allowed(0) and PeerPolicy().attested(0) is None
+
+
 def test_json_documents(spark):
     assert documents.canonical_text('{"b":2,"a":{"y":1.50,"x":[3,2,1e2]}}') == '{"a":{"x":[3,2,1e2],"y":1.50},"b":2}'
     assert documents.canonical_text("{cut") is None and documents.canonical_text(None) is None
