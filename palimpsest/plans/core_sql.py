@@ -46,6 +46,26 @@ _KIND = "CASE json_type(body, '$.' || f) WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT
 P5_LAYOUTS = f"""WITH r AS (SELECT * FROM {P5_ROWS}), c AS (SELECT table_name, version, f AS field, {_KIND} AS kind, count(*) AS n FROM (SELECT table_name, version, body, unnest(json_keys(body)) AS f FROM r) GROUP BY 1, 2, 3, 4),
   k AS (SELECT table_name, version, field, sum(n) AS n, arg_max(kind, n) FILTER (kind IS NOT NULL) AS kind FROM c GROUP BY 1, 2, 3) SELECT k.table_name, k.version, field, kind, k.n::BIGINT AS n FROM k JOIN (SELECT table_name, version, count(*) AS total FROM r GROUP BY 1, 2) USING (table_name, version) WHERE k.n >= 0.1 * total"""
 
+_PK = "regexp_replace(CASE table_name WHEN 'agent.facts' THEN body->>'$.fact_id' WHEN 'public.checkpoints' THEN body->>'$.checkpoint_id' ELSE body->>'$.id' END, '\\.0+$', '')"
+_SEQ_ROWS = P5_ROWS.replace("SELECT t AS table_name, version, body FROM", "SELECT t AS table_name, version, body, seq FROM").replace("SELECT t, version, CASE WHEN op IS NULL", "SELECT t, version, seq, CASE WHEN op IS NULL").replace("AS j FROM change_events", "AS j, event_no::DOUBLE AS seq FROM change_events").replace("unnest(rows)::JSON FROM segments", "unnest(rows)::JSON, epoch_us(sealed_at)::DOUBLE FROM segments")
+_VAL = "CASE WHEN json_type(body, '$.' || f) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN (body->>('$.' || f))::DOUBLE::VARCHAR ELSE (body->('$.' || f))::VARCHAR END"
+P5 = f"""WITH r AS MATERIALIZED (SELECT *, {_PK} AS pk FROM {_SEQ_ROWS}), lay AS MATERIALIZED ({P5_LAYOUTS.replace(f"r AS (SELECT * FROM {P5_ROWS}), ", "")}),
+  ord AS (SELECT name AS version, lag(name) OVER (ORDER BY id) AS before FROM (SELECT '0.0.0' AS name, -1 AS id UNION ALL SELECT regexp_replace(lower(trim(name)), '^v', ''), id FROM agentic_migrations)),
+  st AS (SELECT DISTINCT a.table_name, o.version, o.before FROM ord o JOIN lay a ON a.version = o.version JOIN lay b ON b.version = o.before AND b.table_name = a.table_name),
+  gone AS (SELECT st.*, l.field FROM st JOIN lay l ON l.table_name = st.table_name AND l.version = st.before ANTI JOIN lay n ON n.table_name = st.table_name AND n.version = st.version AND n.field = l.field),
+  come AS (SELECT st.*, l.field FROM st JOIN lay l ON l.table_name = st.table_name AND l.version = st.version ANTI JOIN lay o ON o.table_name = st.table_name AND o.version = st.before AND o.field = l.field),
+  pairs AS MATERIALIZED (SELECT g.table_name, g.version, g.before, g.field AS old, c.field AS new FROM gone g JOIN come c USING (table_name, version)),
+  a AS (SELECT table_name, version, f AS field, pk, arg_max({_VAL}, seq) AS v FROM (SELECT DISTINCT r.*, p.old AS f FROM r JOIN pairs p ON p.table_name = r.table_name AND p.before = r.version) WHERE pk <> '' AND json_type(body, '$.' || f) <> 'NULL' GROUP BY 1, 2, 3, 4),
+  b AS (SELECT table_name, version, f AS field, pk, arg_min({_VAL}, seq) AS v FROM (SELECT DISTINCT r.*, p.new AS f FROM r JOIN pairs p ON p.table_name = r.table_name AND p.version = r.version) WHERE pk <> '' AND json_type(body, '$.' || f) <> 'NULL' GROUP BY 1, 2, 3, 4),
+  rate AS (SELECT p.table_name, p.version, p.old, p.new, avg((a.v = b.v)::INT) AS rate, count(*) AS n FROM pairs p JOIN a ON a.table_name = p.table_name AND a.version = p.before AND a.field = p.old JOIN b ON b.table_name = p.table_name AND b.version = p.version AND b.field = p.new AND b.pk = a.pk GROUP BY 1, 2, 3, 4),
+  pa AS (SELECT table_name, version, field, v, count(*) / sum(count(*)) OVER (PARTITION BY table_name, version, field) AS p FROM a GROUP BY 1, 2, 3, 4), pb AS (SELECT table_name, version, field, v, count(*) / sum(count(*)) OVER (PARTITION BY table_name, version, field) AS p FROM b GROUP BY 1, 2, 3, 4),
+  chance AS (SELECT p.table_name, p.version, p.old, p.new, sum(pa.p * pb.p) AS chance FROM pairs p JOIN pa ON pa.table_name = p.table_name AND pa.version = p.before AND pa.field = p.old JOIN pb ON pb.table_name = p.table_name AND pb.version = p.version AND pb.field = p.new AND pb.v = pa.v GROUP BY 1, 2, 3, 4),
+  ren AS (SELECT * FROM (SELECT rate.*, row_number() OVER (PARTITION BY table_name, version, old ORDER BY rate DESC, n DESC, old, new) AS i, row_number() OVER (PARTITION BY table_name, version, new ORDER BY rate DESC, n DESC, old, new) AS j FROM rate LEFT JOIN chance USING (table_name, version, old, new) WHERE rate >= 0.5 AND rate - coalesce(chance, 0) >= 0.25) WHERE i = 1 AND j = 1)
+  SELECT table_name, version AS schema_version, 'renamed' AS change, old AS field, new AS new_field FROM ren
+  UNION ALL SELECT g.table_name, g.version, 'removed', g.field, '' FROM gone g ANTI JOIN ren ON ren.table_name = g.table_name AND ren.version = g.version AND ren.old = g.field
+  UNION ALL SELECT c.table_name, c.version, 'added', c.field, '' FROM come c ANTI JOIN ren ON ren.table_name = c.table_name AND ren.version = c.version AND ren.new = c.field
+  UNION ALL SELECT st.table_name, st.version, 'retyped', n.field, '' FROM st JOIN lay n ON n.table_name = st.table_name AND n.version = st.version JOIN lay o ON o.table_name = st.table_name AND o.version = st.before AND o.field = n.field WHERE n.kind <> o.kind"""
+
 _LINKS = f"(SELECT c.commit_hash, p.commit_hash AS parent FROM {COMMITS} c LEFT JOIN {COMMITS} p ON p.commit_hash = c.parent)"
 _TREE = f"l AS MATERIALIZED (SELECT * FROM {_LINKS}), t AS (SELECT commit_hash, commit_hash AS root, 0::BIGINT AS depth, commit_hash AS path FROM l WHERE parent IS NULL UNION ALL SELECT l.commit_hash, t.root, t.depth + 1, t.path || '/' || l.commit_hash FROM t JOIN l ON l.parent = t.commit_hash)"
 _CYCLE = "up AS (SELECT commit_hash AS start, parent AS node FROM rest WHERE parent IS NOT NULL UNION SELECT up.start, rest.parent FROM up JOIN rest ON rest.commit_hash = up.node WHERE rest.parent IS NOT NULL)"
@@ -56,4 +76,4 @@ P6_PATHS = f"""WITH RECURSIVE {_TREE}, rest AS MATERIALIZED (SELECT * FROM l WHE
 P6_DESCENDANTS = f"""WITH RECURSIVE {_TREE}, a AS (SELECT commit_hash, path, depth, unnest(string_split(path, '/')) AS above, generate_subscripts(string_split(path, '/'), 1) - 1 AS level FROM t)
   SELECT above AS commit_hash, commit_hash AS descendant, depth - level AS distance FROM a WHERE above <> commit_hash"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p2_report": P2_REPORT, "p4_found": P4, "p5_layouts": P5_LAYOUTS, "p6_found": P6, "p6_paths": P6_PATHS, "p6_descendants": P6_DESCENDANTS}
+SQL = {"p1_found": P1, "p2_found": P2, "p2_report": P2_REPORT, "p4_found": P4, "p5_found": P5, "p5_layouts": P5_LAYOUTS, "p6_found": P6, "p6_paths": P6_PATHS, "p6_descendants": P6_DESCENDANTS}
