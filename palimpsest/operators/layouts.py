@@ -15,6 +15,8 @@ from ..session import cut
 LEAST_SHARE = 0.1
 #: A renamed field agrees on at least this share of common keys, and by this much more than unrelated pairs would.
 LEAST_AGREEMENT, LEAST_LIFT = 0.5, 0.25
+#: Most typed columns of a consistent table; fields beyond the most frequent ones are held as JSON.
+MOST_FIELDS = 1_000
 KINDS = ("number", "text", "boolean", "array", "object")
 
 
@@ -57,16 +59,22 @@ def fields_of(rows: DataFrame) -> DataFrame:
     return rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select(*kept, "pos", F.col("key").alias("field"), "value")
 
 
-def layouts(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame) -> DataFrame:
+    """(table_name, version, field, kind, n, rows): all fields and kinds of the rows, however rare; the sum of `rows` is that of the version's rows."""
+    cells = fields_of(rows).select("table_name", "version", "field", kind_of(F.col("value")).alias("kind"), F.coalesce(F.col("pos") == 0, F.lit(True)).alias("first"))
+    # each row has one first field, so one pass counts rows as well
+    return cut(cells.groupBy("table_name", "version", "field", "kind").agg(F.count("*").alias("n"), F.count_if("first").alias("rows")))
+
+
+def layouts(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(table_name, version, field, share, kind, n): the fields of each version.
 
     The layouts of the files' rows are read in parallel and folded map-side into counts per kind. A field belongs to a
     version when at least a tenth of the version's rows carry it, null or not; its kind is that of most non-null values
     (ties: the wider one in the lattice). So at most ten times a row's width remain per version: a bounded result.
+    counts: counted(rows), where it is there already.
     """
-    cells = fields_of(rows).select("table_name", "version", "field", kind_of(F.col("value")).alias("kind"), F.coalesce(F.col("pos") == 0, F.lit(True)).alias("first"))
-    # each row has one first field, so one pass counts rows as well
-    counts = cut(cells.groupBy("table_name", "version", "field", "kind").agg(F.count("*").alias("n"), F.count_if("first").alias("rows")))
+    counts = counted(rows) if counts is None else counts
     total = counts.groupBy("table_name", "version").agg(F.sum("rows").alias("rows"))
     rank = {k: i for i, k in enumerate(("boolean", "number", "text", "array", "object"))}
     wide = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for k, i in rank.items()])
@@ -118,13 +126,13 @@ def renames(rows: DataFrame, tracked: list[Tracked], gone: DataFrame, come: Data
     return good.withColumn("i", best("old")).withColumn("j", best("new")).where("i = 1 and j = 1").select("table_name", "version", F.col("old").alias("field"), F.col("new").alias("new_field"))
 
 
-def layout_changes(rows: DataFrame, migrations: DataFrame, tracked: list[Tracked]) -> DataFrame:
+def layout_changes(rows: DataFrame, migrations: DataFrame, tracked: list[Tracked], counts: DataFrame | None = None) -> DataFrame:
     """(table_name, schema_version, change, field, new_field): each version of each table against the one before.
 
     Versions no migration brings are not compared. Where a table has no rows under a version, that version has no layout:
     nothing is reported between it and its neighbours.
     """
-    have = cut(layouts(rows))
+    have = cut(layouts(rows, counts))
     order = versions_in_order(migrations)
     there = have.select("table_name", "version").distinct()
     steps = F.broadcast(there.join(order.where("before is not null"), "version").join(there.withColumnRenamed("version", "before"), ["table_name", "before"]))
@@ -148,28 +156,44 @@ def join_kinds(kinds: Column) -> Column:
 
 
 def union_schema(have: DataFrame, changes: DataFrame, table: str) -> list[tuple[str, str, list[str]]]:
-    """[(field, kind, names)] of one table: names it had, newest first, and the least kind that holds them all. Bounded by layouts()."""
-    kinds: dict[str, set[str]] = {}
-    for r in have.where(F.col("table_name") == table).select("field", "kind").distinct().collect():
-        kinds.setdefault(r.field, set()).update({r.kind} - {None})
+    """[(field, kind, names)] of one table: names it had, newest first, and the least kind that holds them all.
+
+    have: counted(), so that fields and kinds of any share count. Bounded by MOST_FIELDS; of columns that differ in letter
+    case alone, the most frequent is taken. What is left out goes to unified()'s rest.
+    """
+    seen = have.where((F.col("table_name") == table) & F.col("field").isNotNull()).groupBy("field").agg(F.collect_set("kind").alias("kinds"), F.sum("n").alias("n"))
     later = {r.field: r.new_field for r in changes.where((F.col("table_name") == table) & (F.col("change") == "renamed")).collect()}
-    out = {}
-    for f in sorted(kinds):
-        head, seen = f, {f}
-        while head in later and later[head] not in seen:
+    out, taken = {}, {}
+    for r in seen.orderBy(F.desc("n"), "field").limit(MOST_FIELDS).collect():
+        head, passed = r.field, {r.field}
+        while head in later and later[head] not in passed:
             head = later[head]
-            seen.add(head)
+            passed.add(head)
+        if taken.setdefault(head.lower(), head) != head:
+            continue
         names, ks = out.setdefault(head, ([], set()))
-        names.append(f)
-        ks.update(kinds[f])
+        names.append(r.field)
+        ks.update(r.kinds)
     lattice = lambda ks: next(iter(ks)) if len(ks) == 1 else "number" if ks and ks <= {"boolean", "number"} else "text"
-    return [(f, lattice(ks), sorted(names, key=lambda n: n != f)) for f, (names, ks) in sorted(out.items())]
+    return [(f, lattice(ks), sorted(names, key=lambda n: (n != f, n))) for f, (names, ks) in sorted(out.items())]
 
 
-def unified(rows: DataFrame, schema: list[tuple[str, str, list[str]]], table: str) -> DataFrame:
-    """All rows (keyed()) of one table under its union schema: version, pk, then one typed column per field (arrays and objects as JSON)."""
-    at = lambda n, kind: F.try_variant_get("v", "$['" + n.replace("'", "\\'") + "']", kind)
+def unified(rows: DataFrame, schema: list[tuple[str, str, list[str]]], table: str, rest: bool = False) -> DataFrame:
+    """All rows (keyed()) of one table under its union schema: version, pk, then one typed column per field (arrays and objects as JSON).
+
+    With rest, a last column `rest` holds as JSON what the typed columns do not: fields outside the schema, and the value
+    under an older name where the row has another one under a newer name. Null where there is nothing.
+    """
+    rows = once(rows.where(F.col("table_name") == table), fields=F.try_variant_get("v", "$", "map<string,variant>"))  # no path, so that fields may have any name
+    value = lambda n: F.col("fields")[F.lit(n)]
+    at = lambda n, kind: F.try_variant_get(value(n), "$", kind)
     num = lambda n: F.coalesce(at(n, "double"), at(n, "boolean").cast("double"), at(n, "string").try_cast("double"))
-    text = lambda n: F.coalesce(at(n, "string"), F.to_json(at(n, "variant")))
+    text = lambda n: F.coalesce(at(n, "string"), F.when(kind_of(value(n)).isNotNull(), F.to_json(value(n))))
     get = {"number": num, "boolean": lambda n: at(n, "boolean"), "text": text, "array": text, "object": text}
-    return rows.where(F.col("table_name") == table).select("version", "pk", *[F.coalesce(*[get[kind](n) for n in names]).alias(f"f_{f}") for f, kind, names in schema])
+    columns = [F.coalesce(*[get[kind](n) for n in names]).alias(f"f_{f}") for f, kind, names in schema]
+    if rest:
+        held = [n for _, _, names in schema for n in names]
+        hidden = [F.when(get[kind](n) != F.coalesce(*[get[kind](m) for m in names[:i]]), F.lit(n)) for _, kind, names in schema for i, n in enumerate(names) if i]
+        other = F.map_filter("fields", lambda k, _: ~k.isin(held) | (F.array_contains(F.array_compact(F.array(*hidden)), k) if hidden else F.lit(False)))
+        columns.append(F.when(F.size(other) > 0, F.to_json(other)).alias("rest"))
+    return rows.select("version", "pk", *columns)

@@ -57,10 +57,11 @@ def p5_layouts(spark: SparkSession, d: str) -> DataFrame:
 
 def _unified(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = _versioned(spark, d)
+        rows = _versioned(spark, d).where(F.col("table_name") == name)
         tracked = tracked_list(table(spark, d, "tracked_tables"))
-        schema = layouts.union_schema(layouts.layouts(rows), layouts.layout_changes(rows, table(spark, d, "agentic_migrations"), tracked), name)
-        return layouts.unified(layouts.keyed(rows, tracked), schema, name)
+        counts = layouts.counted(rows)
+        schema = layouts.union_schema(counts, layouts.layout_changes(rows, table(spark, d, "agentic_migrations"), tracked, counts), name)
+        return layouts.unified(layouts.keyed(rows, tracked), schema, name, rest=True)
 
     return query
 

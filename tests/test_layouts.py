@@ -59,3 +59,31 @@ def test_one_consistent_table(spark):
     assert schema == [("body", "text", ["body", "text"]), ("id", "number", ["id"]), ("m", "object", ["m"]), ("n", "text", ["n"])]
     table = layouts.unified(layouts.keyed(rows, TRACKED), schema, "messages").where("pk = '7'").orderBy("version").collect()
     assert [tuple(r) for r in table] == [("0.0.5", "7", "t7", 7.0, None, "7"), ("0.1.0", "7", "t7", 7.0, '{"a":[true],"b":1}', "7")]
+
+
+def whole_table(spark, rows):
+    counts = layouts.counted(rows)
+    schema = layouts.union_schema(counts, layouts.layout_changes(rows, migrations(spark), TRACKED, counts), "messages")
+    return schema, layouts.unified(layouts.keyed(rows, TRACKED), schema, "messages", rest=True)
+
+
+def test_rare_fields_and_kinds_stay_in_the_table(spark):
+    rows = rows_of(spark, [("0.1.0", {"id": i, "n": "many" if i == 7 else i, **({"_debug": True} if i == 3 else {}), **({"it's": 1, "q?": None} if i == 4 else {})}) for i in range(40)])
+    schema, table = whole_table(spark, rows)
+    assert schema == [("_debug", "boolean", ["_debug"]), ("id", "number", ["id"]), ("it's", "number", ["it's"]), ("n", "text", ["n"]), ("q?", "text", ["q?"])]
+    got_rows = {r.pk: r for r in table.collect()}
+    assert got_rows["3"]["f__debug"] is True and got_rows["7"]["f_n"] == "many" and got_rows["8"]["f_n"] == "8" and got_rows["4"]["f_it's"] == 1.0 and got_rows["4"]["f_q?"] is None
+    assert all(r["rest"] is None for r in got_rows.values())
+
+
+def test_rest_holds_what_typed_columns_do_not(spark, monkeypatch):
+    monkeypatch.setattr(layouts, "MOST_FIELDS", 3)
+    before = [("0.0.5", {"id": i, "text": f"t{i}"}) for i in range(40)]
+    after = [("0.1.0", {"id": i, "body": f"t{i}", **({"text": "other", "rare": [1]} if i == 5 else {}), **({"Body": 2} if i == 6 else {})}) for i in range(40)]
+    schema, table = whole_table(spark, rows_of(spark, before + after))
+    assert schema == [("body", "text", ["body", "text"]), ("id", "number", ["id"])]
+    rest = {(r.version, r.pk): (r.f_body, json.loads(r.rest)) for r in table.where("rest is not null").collect()}
+    assert rest == {("0.1.0", "5"): ("t5", {"text": "other", "rare": [1]}), ("0.1.0", "6"): ("t6", {"Body": 2})}
+    monkeypatch.setattr(layouts, "MOST_FIELDS", 10)
+    schema, table = whole_table(spark, rows_of(spark, before + after))
+    assert [f for f, _, _ in schema] == ["body", "id", "rare"] and table.where("rest is not null").count() == 2
