@@ -13,8 +13,11 @@ from ..session import cut
 
 #: Least share of a version's rows that carry a field of that version.
 LEAST_SHARE = 0.1
-#: A renamed field agrees on at least this share of common keys, and by this much more than unrelated pairs would.
+#: A renamed field agrees on at least this share of common keys, and by this much more than unrelated pairs would, or by
+#: the first share of what is left above chance, where that is less.
 LEAST_AGREEMENT, LEAST_LIFT = 0.5, 0.25
+#: In the latter case the agreement is also this many standard deviations above chance.
+LEAST_DEVIATIONS = 3
 #: Most typed columns of a consistent table; fields beyond the most frequent ones are held as JSON.
 MOST_FIELDS = 1_000
 KINDS = ("number", "text", "boolean", "array", "object")
@@ -100,7 +103,8 @@ def renames(rows: DataFrame, tracked: list[Tracked], gone: DataFrame, come: Data
     """(table_name, version, field, new_field): pairs of a removed and an added field whose values stay the same for the same keys.
 
     gone: (table_name, version, before, field); come: (table_name, version, field). Values are compared at the border of
-    the versions: the last value before, the first after. Each field takes part in one rename, the best agreeing.
+    the versions: the last value before, the first after. Each field takes part in one rename, the best agreeing. Where most
+    values are equal anyhow, agreement counts relative to what chance leaves; for that, about five keys have rarer values.
     """
     pairs = cut(gone.withColumnRenamed("field", "old").join(come.withColumnRenamed("field", "new"), ["table_name", "version"]))
     # layouts at such a border; a literal condition, since that reaches the scan before rows are parsed
@@ -121,7 +125,10 @@ def renames(rows: DataFrame, tracked: list[Tracked], gone: DataFrame, come: Data
     p = share.select("table_name", F.col("version").alias("before"), F.col("field").alias("old"), "value", "p")
     q = share.select("table_name", "version", F.col("field").alias("new"), "value", F.col("p").alias("q"))
     chance = pairs.join(p, ["table_name", "before", "old"]).join(q, ["table_name", "version", "new", "value"]).groupBy("table_name", "version", "old", "new").agg(F.sum(F.col("p") * F.col("q")).alias("chance"))
-    good = rate.join(chance, ["table_name", "version", "old", "new"], "left").where((F.col("rate") >= LEAST_AGREEMENT) & (F.col("rate") - F.coalesce("chance", F.lit(0.0)) >= LEAST_LIFT))
+    chance_of = F.coalesce("chance", F.lit(0.0))
+    lift, left_above = F.col("rate") - chance_of, F.lit(1.0) - chance_of
+    beyond = (left_above > 1e-9) & (lift >= LEAST_AGREEMENT * left_above) & (lift * F.sqrt("keys") >= LEAST_DEVIATIONS * F.sqrt(chance_of * F.greatest(left_above, F.lit(0.0))))
+    good = rate.join(chance, ["table_name", "version", "old", "new"], "left").where((F.col("rate") >= LEAST_AGREEMENT) & ((lift >= LEAST_LIFT) | beyond))
     best = lambda c: F.row_number().over(W.partitionBy("table_name", "version", c).orderBy(F.desc("rate"), F.desc("keys"), "old", "new"))
     return good.withColumn("i", best("old")).withColumn("j", best("new")).where("i = 1 and j = 1").select("table_name", "version", F.col("old").alias("field"), F.col("new").alias("new_field"))
 

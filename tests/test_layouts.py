@@ -87,3 +87,10 @@ def test_rest_holds_what_typed_columns_do_not(spark, monkeypatch):
     monkeypatch.setattr(layouts, "MOST_FIELDS", 10)
     schema, table = whole_table(spark, rows_of(spark, before + after))
     assert [f for f, _, _ in schema] == ["body", "id", "rare"] and table.where("rest is not null").count() == 2
+
+
+def test_skewed_flags_are_renamed_and_unrelated_ones_are_not(spark):
+    a = [("0.0.5", {"id": i, "flag": i % 20 == 0, "odd": i % 20 == 1}) for i in range(200)]
+    b = [("0.1.0", {"id": i, "marked": i % 20 == 0, "other": i % 20 == 2}) for i in range(200)]
+    found = got(layouts.layout_changes(rows_of(spark, a + b), migrations(spark), TRACKED).select("change", "field", "new_field"))
+    assert found == {("renamed", "flag", "marked"), ("removed", "odd", ""), ("added", "other", "")}
