@@ -98,9 +98,9 @@ def segment_sizes(segments: DataFrame) -> DataFrame:
 def snapshot_changes(snapshots: DataFrame, entries: DataFrame, index: DataFrame, sizes: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """(workspace, table_name, pk, manifest, change, old_at, new_at): keys added, removed or changed since the complete snapshot before.
 
-    Rows are bucketed by key once; in a bucket the index of the last snapshot (key to hash) is probed with the rows of the
-    next, which then take its place. Only hashes and places (entry of the manifest, element of its segment) move; values
-    are fetched later by place, for changes alone. Between snapshots of unlike version nothing is reported.
+    Rows of all snapshots are bucketed by key once and folded to the last envelope per key and snapshot; those of a key are
+    sorted by snapshot and compared with their neighbours. Only hashes (64 bits, without an exact check) and places (entry
+    of the manifest, element of its segment) move; values are fetched later by place, for changes alone. Between snapshots of unlike version nothing is reported.
     """
     seqs = cut(complete_snapshots(snapshots, entries, sizes, tracked))
     places = entries.drop("row_count").join(seqs.select("manifest", "table_name", "seq", "same", "later_same", F.col("later").isNotNull().alias("more")), ["manifest", "table_name"]).drop("manifest")
