@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import codes
 
-#: A case is a stretch of this many consecutive words; passages of items have this length and this stride.
-STRETCH, STRIDE = 15, 5
+#: A case is a stretch of this many consecutive words; passages of items have this length and begin at every word.
+STRETCH = 15
 #: Document windows have two blocks of this many words, so each stretch lies within one.
 BLOCK = 15
 #: Number of hash functions; containment of a passage's shingles in a window that makes a candidate, and in which it is verified.
@@ -22,10 +22,12 @@ HASHES, SOUGHT, CONTAINED = 32, 0.4, 0.3
 PARTITIONS = (8, 16, 32, 64)
 #: A stretch is accepted from this span of item words, of which this share agree (words at its ends may be altered).
 LEAST_SPAN, LEAST_SHARE = 14, 0.8
+#: Cost, in matches, of the one insertion into a stretch that may have any length; then this share of its words agree.
+INSERTED, INSERTED_SHARE = 1, 0.9
 #: Slices of very long texts overlap by this many characters, more than any stretch that is looked at.
 OVERLAP = 4_000
 #: Items are searched in blocks of this many, so what is sent to executors is bounded.
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 4_000
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,8 @@ LOW = np.uint64((1 << 20) - 1)
 def build_query(texts: list[str], t: codes.Tables) -> Query:
     w = codes.folded_words(texts, t)
     a, b = _functions()
-    item, words, strings, sets, sigs = [], [], [], [], []
+    item, words, strings, sets, sigs = [], [], [], [], [np.zeros((0, HASHES), np.uint64)]
+    over = np.lib.stride_tricks.sliding_window_view
     bounds = np.searchsorted(w.text, np.arange(len(texts) + 1))
     for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         h = w.hashes[lo:hi]
@@ -93,13 +96,13 @@ def build_query(texts: list[str], t: codes.Tables) -> Query:
         strings.append([w.word(j) for j in range(lo, hi)])
         if len(h) < STRETCH:
             continue
-        for s in sorted({*range(0, len(h) - STRETCH + 1, STRIDE), len(h) - STRETCH}):
-            sh = shingles(h[s : s + STRETCH], np.zeros(STRETCH, np.int64))
-            one = np.zeros(1, np.int64)
-            sigs.append([minima(sh, one, x, y)[0] for x, y in zip(a, b)])
-            sets.append(np.unique(sh[sh > 0]))
-            item.append(i)
-    sig = np.array(sigs, np.uint64).reshape(-1, HASHES)
+        sh = shingles(h, np.zeros(len(h), np.int64))
+        held = np.concatenate((over(sh[0, :-1], STRETCH - 1), over(sh[1, :-2], STRETCH - 2)), axis=1)  # per passage
+        with np.errstate(over="ignore"):
+            sigs.append(np.stack([((held * x + y) >> np.uint64(16)).min(axis=1) for x, y in zip(a, b)], axis=1))
+        sets += [np.unique(x) for x in held]
+        item += [i] * len(held)
+    sig = np.concatenate(sigs)
     bitmap = np.zeros((HASHES, 65_536), bool)
     values, passages = [], []
     for k in range(HASHES):
@@ -215,31 +218,50 @@ def longest_run(m: np.ndarray) -> int:
 def longest_stretch(m: np.ndarray) -> int:
     """Span of item words in the best local alignment of a match matrix (item words x document words).
 
-    A match counts 1, a replaced word or one left out -1, a word inserted in the document -1/2; of all alignments whose
-    share of matches is at least LEAST_SHARE the longest span of item words is returned.
+    A match counts 1, a replaced word or one left out -1, a word inserted in the document -1/2; one insertion, of any
+    length, costs no more than INSERTED. Of all alignments whose share of matches is at least LEAST_SHARE (INSERTED_SHARE
+    past such an insertion) the longest span of item words is returned; the insertion is tried where no stretch is long
+    enough without it and LEAST_SPAN words hold enough matches, two less than all, for that share.
     """
+    best = _aligned(m, 1)
+    return max(best, _aligned(m, 2)) if best < LEAST_SPAN and any(dense_rows(m.any(axis=1), LEAST_SPAN - 2)) else best
+
+
+def _aligned(m: np.ndarray, n_layers: int) -> int:
+    """longest_stretch() without the long insertion (one layer) or with it (two)."""
     ni, nj = m.shape
-    score, began, hits = np.zeros(nj + 1), np.zeros(nj + 1, np.int64), np.zeros(nj + 1, np.int64)
     half, best = np.arange(nj + 1) / 2, 0
+    fresh = lambda: (np.zeros(nj + 1), np.zeros(nj + 1, np.int64), np.zeros(nj + 1, np.int64))
+    layers = [fresh() for _ in range(n_layers)]  # score, began, hits: before the one long insertion and after it
+
+    def furthest(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best place to come from, any number of words further left, and its value."""
+        top = np.maximum.accumulate(value)
+        return top[:-1], np.maximum.accumulate(np.where(value >= top, np.arange(nj + 1), 0))[:-1]
+
     for i in range(ni):
-        # the best place to come from, any number of words further left
-        lifted = score + half
-        top = np.maximum.accumulate(lifted)
-        come = np.maximum.accumulate(np.where(lifted >= top, np.arange(nj + 1), 0))[:-1]
-        before = (top - half)[:-1]
-        row, opened = m[i], before > 0
-        on = np.where(row, np.where(opened, before, 0) + 1, score[:-1] - 1)
-        src = np.where(row, come, np.arange(nj))
-        live = np.where(row, opened, score[:-1] > 0)
-        b = np.where(live, began[src], i)
-        h = np.where(live, hits[src], 0) + row
-        left = score[1:] - 1
-        use = left > on
-        on, b, h = np.where(use, left, on), np.where(use, began[1:], b), np.where(use, hits[1:], h)
-        good = (on > 0) & row & ~use & (h >= LEAST_SHARE * (i + 1 - b))
-        if good.any():
-            best = max(best, int((i + 1 - b)[good].max()))
-        score[1:], began[1:], hits[1:] = np.maximum(on, 0), b, h
+        row, earlier = m[i], layers[0]
+        for k, (score, began, hits) in enumerate(layers):
+            top, come = furthest(score + half)
+            before = top - half[:-1]
+            b0, h0 = began[come], hits[come]
+            if k:
+                jump, jump_from = furthest(earlier[0])
+                jump = jump - INSERTED
+                far = jump > before
+                before, b0, h0 = np.where(far, jump, before), np.where(far, earlier[1][jump_from], b0), np.where(far, earlier[2][jump_from], h0)
+            opened = before > 0
+            on = np.where(row, np.where(opened, before, 0) + 1, score[:-1] - 1)
+            live = np.where(row, opened, score[:-1] > 0)
+            b = np.where(live, np.where(row, b0, began[:-1]), i)
+            h = np.where(live, np.where(row, h0, hits[:-1]), 0) + row
+            left = score[1:] - 1
+            use = left > on
+            on, b, h = np.where(use, left, on), np.where(use, began[1:], b), np.where(use, hits[1:], h)
+            good = (on > 0) & row & ~use & (h >= (INSERTED_SHARE if k else LEAST_SHARE) * (i + 1 - b))
+            if good.any():
+                best = max(best, int((i + 1 - b)[good].max()))
+            layers[k] = tuple(np.concatenate((z[:1], x)) for z, x in zip(fresh(), (np.maximum(on, 0), b, h)))
     return best
 
 

@@ -91,3 +91,25 @@ def test_word_hashes_depend_on_the_word_alone():
     t = codes.tables()
     w = codes.folded_words(["Über die Straße, uber DIE strasse", "uber"], t)
     assert [w.word(i) for i in (0, 1)] == ["uber", "die"] and w.hashes[0] == w.hashes[3] == w.hashes[-1] and list(w.text) == [0] * 6 + [1]
+
+
+def test_long_insertions_and_altered_words_in_short_stretches(spark):
+    it = ITEMS[1]
+    aside = [FILL[i % len(FILL)] for i in range(30)]
+    docs = [(p, doc(it[21 : 21 + p] + aside + it[21 + p : 36], p)) for p in range(2, 14)]
+    assert run(spark, docs) == {(p, 1) for p in range(2, 14)}
+    assert run(spark, [(1, doc(it[21:25] + aside + it[25:30])), (2, doc(it[30:36] + aside + it[21:30]))]) == set()
+
+
+def test_passages_begin_at_every_word():
+    t = codes.tables()
+    q = leaks.build_query([" ".join(x) for x in ITEMS.values()], t)
+    assert len(q.item) == sum(len(x) - leaks.STRETCH + 1 for x in ITEMS.values())
+    lost = 0
+    for k in range(300):
+        r = random.Random(k)
+        stretch = ITEMS[1][k % 46 : k % 46 + 15]
+        for i in r.sample(range(1, 14), 5):
+            stretch[i] = f"zz{i}zz"
+        lost += not leaks.candidate_pairs(codes.folded_words([doc(stretch, k, 60)], t), q)
+    assert lost <= 9
