@@ -53,6 +53,8 @@ _PLACEHOLDER = re.compile(
 )
 _REFERENCE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
 _COMPILED = {name: (re.compile(pattern, re.IGNORECASE), kind) for name, (pattern, kind) in RULES.items()}
+#: Rules that look for an option anywhere on the line of a command: the command's part.
+_COMMANDS = {name: re.compile(pattern.split(r"[^\n]*?")[0], re.IGNORECASE) for name, (pattern, _) in RULES.items() if r")[^\n]*?[ \t]" in pattern}
 _LITERAL = re.compile(r"""[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""", re.IGNORECASE)
 
 
@@ -98,12 +100,27 @@ def holds(raw: str, kind: str) -> bool:
     return not re.fullmatch(r"[0-9.,_ -]*|\d+[smhdkKMGB]{0,2}", value) and " " not in value.strip() or (quoted and _strong(value) and value.count(" ") <= 1)
 
 
+def matches(text: str, name: str) -> Iterator[re.Match]:
+    """finditer() of a rule; a line on which a command has no such option is passed over for all further commands on it."""
+    pattern, command = _COMPILED[name][0], _COMMANDS.get(name)
+    if command is None:
+        yield from pattern.finditer(text)
+        return
+    c = command.search(text)
+    while c:
+        m = pattern.match(text, c.start())
+        if m:
+            yield m
+        end = m.end() if m else text.find("\n", c.start())
+        c = command.search(text, end) if end >= 0 else None
+
+
 def scan(text: str, rules: list[str]) -> list[tuple[int, int]]:
     """Spans of credential values in a text, by the rules named; sorted, without those inside others."""
     spans = []
     for name in rules:
-        pattern, kind = _COMPILED[name]
-        for m in pattern.finditer(text):
+        kind = _COMPILED[name][1]
+        for m in matches(text, name):
             raw = m.group("v")
             if name == "private_key":
                 if holds(raw, kind):
@@ -144,7 +161,9 @@ def find(texts: DataFrame) -> DataFrame:
     """(fid, lo, hi, line_no) of distinct texts (fid, text): spans of credentials and the line where each begins.
 
     1. texts are cut into chunks; 2. their trigrams are posted, as far as a rule requires them; 3. per rule the postings
-    are intersected to candidate chunks; 4. the regexes run on candidates only, each on those of its own rule.
+    are intersected to candidate chunks; 4. the regexes run on candidates only, each on those of its own rule. Of a text in
+    several chunks the whole is verified, by the rules of any of its chunks: values and lines may be longer than what a
+    chunk sees.
     """
     rules = {name: trigrams.required(pattern) for name, (pattern, _) in RULES.items()}
     chunked = cut(trigrams.chunks(texts))
@@ -153,19 +172,19 @@ def find(texts: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for fid, lo, hi, start, text, names in zip(*(b.column(c).to_pylist() for c in ("fid", "lo", "hi", "start", "text", "rules"))):
+            for fid, text, names in zip(*(b.column(c).to_pylist() for c in ("fid", "text", "rules"))):
                 for a, z, v in scan(text, names):
-                    if lo <= start + a < hi:
-                        out.append((fid, start + a, start + z, start + v, text.count("\n", lo - start, a), lo))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5))], ["fid", "lo", "hi", "from", "breaks", "chunk_lo"])
-
-    hits = chunked.join(wanted, ["fid", "chunk"]).select("fid", "lo", "hi", "start", "text", "rules").mapInArrow(verify, "fid string, lo long, hi long, from long, breaks long, chunk_lo long")
-    # line breaks before each chunk, counted where a text has more than one
-    breaks = chunked.where("chunk > 0 or hi >= %d" % trigrams.CHUNK).select("fid", F.col("lo").alias("b_lo"), F.regexp_count(F.expr("substr(text, int(lo - start + 1), int(hi - lo))"), F.lit("\n")).alias("b"))
-    far = hits.where("chunk_lo > 0").select("fid", "chunk_lo").distinct().join(breaks, "fid").where("b_lo < chunk_lo").groupBy("fid", "chunk_lo").agg(F.sum("b").alias("before"))
-    lines = hits.join(far, ["fid", "chunk_lo"], "left")
-    return lines.select("fid", "lo", "hi", "from", (F.col("breaks") + F.coalesce("before", F.lit(0)) + 1).cast("long").alias("line_no"))
+                    out.append((fid, a, z, v, line_of(text, a)))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))], ["fid", "lo", "hi", "from", "line_no"])
+
+    several = F.expr("chunk > 0 or hi >= %d" % trigrams.CHUNK)
+    single = chunked.where(~several).join(wanted, ["fid", "chunk"]).select("fid", "text", "rules")
+    own = F.struct("chunk", F.expr("substr(text, int(lo - start + 1), int(hi - lo))").alias("t"))
+    named = wanted.groupBy("fid").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
+    parts = chunked.where(several).groupBy("fid").agg(F.array_sort(F.collect_list(own)).alias("parts"))  # of one text
+    whole = parts.join(named, "fid").select("fid", F.array_join("parts.t", "").alias("text"), "rules")
+    return single.unionByName(whole).mapInArrow(verify, "fid string, lo long, hi long, from long, line_no long")
 
 
 def credentials(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
