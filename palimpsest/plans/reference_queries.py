@@ -417,6 +417,18 @@ def agg_pk_range(spark, d):
     return folds.key_ranges(e, ["segment", "table_name"], F.col("pk").try_cast("long"))
 
 
+_PK_ORDER = "{'t': try_cast(pk AS DOUBLE) IS NULL, 'n': coalesce(try_cast(pk AS DOUBLE), 0), 'pk': pk}"
+
+
+@query(f"SELECT segment, table_name, (min({_PK_ORDER}) FILTER (pk IS NOT NULL)).pk AS pk_lo, (max({_PK_ORDER}) FILTER (pk IS NOT NULL)).pk AS pk_hi, count(*) AS row_count FROM {KEYED} GROUP BY 1, 2")
+def agg_pk_range_all(spark, d):
+    """The ranges of agg_pk_range for all tables, in the order of srt_pk_key: numbers by value, then text."""
+    is_text, num, _ = scalars.canonical_pk(F.col("pk"))
+    key = F.when(F.col("pk").isNotNull(), F.struct(is_text.alias("t"), F.coalesce(num, F.lit(0.0)).alias("n"), "pk"))
+    e = restoring.envelopes(table(spark, d, "segments"), tracked_of(spark, d))
+    return folds.key_ranges(e, ["segment", "table_name"], key).select("segment", "table_name", F.col("pk_lo.pk").alias("pk_lo"), F.col("pk_hi.pk").alias("pk_hi"), "row_count")
+
+
 @query(f"SELECT manifest, count(*) AS n_entries, sum(e.row_count)::BIGINT AS event_count FROM {ENTRIES} GROUP BY 1")
 def agg_row_count(spark, d):
     return manifest_entries(spark, d).groupBy("manifest").agg(F.count("*").alias("n_entries"), F.sum("row_count").alias("event_count"))

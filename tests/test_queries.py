@@ -48,3 +48,12 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert SQL.keys() <= QUERIES.keys()
+
+
+def test_key_ranges_of_all_tables(spark, small):
+    ranges = QUERIES["agg_pk_range_all"](spark, small).toPandas()
+    assert set(ranges.table_name) == {"messages", "public.episodes", "public.checkpoints", "agent.facts"}
+    assert ranges.pk_lo.notna().all() and ranges.pk_hi.notna().all()
+    part = QUERIES["agg_pk_range"](spark, small).toPandas()
+    both = part.merge(ranges, on=["segment", "table_name"])
+    assert len(both) == len(part) and (both.pk_lo_x == both.pk_lo_y.astype(int)).all() and (both.pk_hi_x == both.pk_hi_y.astype(int)).all()
