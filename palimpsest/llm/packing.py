@@ -22,11 +22,11 @@ WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 
 
 def token_class(code: int) -> int:
-    """Letters, marks, digits and the underscore are WORD."""
+    """Letters, marks, digits (numerals of every kind: 7, ½, Ⅳ) and the underscore are WORD."""
     if code in WHITE:
         return SPACE
     cat = unicodedata.category(chr(code))
-    return WORD if cat[0] in "LM" or cat == "Nd" or code == 0x5F else OTHER
+    return WORD if cat[0] in "LMN" or code == 0x5F else OTHER
 
 
 def token_classes() -> np.ndarray:

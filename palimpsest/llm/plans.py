@@ -49,7 +49,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_pack": p7_pack, "p7_utilisation": p7_utilisation,
     "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
-_TOKENS = "len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}_]+|[^\\p{L}\\p{M}\\p{Nd}_\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
+_TOKENS = "len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
 SQL = {
     "p7_found": f"SELECT DISTINCT capacity, doc_id FROM containers, (SELECT doc_id, {_TOKENS} AS size FROM documents) WHERE size > capacity",
 }

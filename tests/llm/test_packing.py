@@ -76,13 +76,31 @@ def test_token_counts(spark, text, n):
 
 def test_token_counts_in_slices_agree_with_a_regex(monkeypatch):
     monkeypatch.setattr(P.codes, "GROUP", 50)
-    pattern, r, classes = regex.compile(r"[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_\p{White_Space}]+"), random.Random(1), P.token_classes()
+    pattern, r, classes = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\p{White_Space}]+"), random.Random(1), P.token_classes()
     for _ in range(200):
         texts = ["".join(r.choice("ab é_,.7\n\u2003\u00a0𝐀😀½-'") for _ in range(r.choice([0, 3, 40, 160, 400]))) if r.random() > 0.1 else None for _ in range(6)]
         assert list(P.count_tokens(texts, classes)) == [len(pattern.findall(x or "")) for x in texts]
     assert list(P.count_tokens(["a" * 500, "." * 120 + "b" * 200], classes)) == [1, 2]
 
 
+def test_token_counts_agree_with_a_count_by_characters(small):
+    """Written apart from the operator: one character at a time, over all documents of the smallest tables."""
+    import unicodedata
+
+    import pyarrow.parquet as pq
+
+    def count(text):
+        n, before = 0, " "
+        for c in text:
+            kind = " " if c.isspace() else "w" if c == "_" or unicodedata.category(c)[0] in "LMN" else "o"
+            n += kind != " " and kind != before
+            before = kind
+        return n
+
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    assert list(P.count_tokens(texts, P.token_classes())) == [count(t or "") for t in texts]
+
+
 def test_utilisation(spark):
     df = spark.createDataFrame([(10, 0, 6), (10, 0, 4), (10, 1, 5)], "capacity long, bin long, size long")
     assert got(P.utilisation(df).select("capacity", "bins", "tokens", F.round("unused_share", 3))) == {(10, 2, 15, 0.25)}
