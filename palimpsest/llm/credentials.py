@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import reference
-from ..session import cut
 from . import trigrams
 
 #: Names that a credential is given under.
@@ -31,11 +30,11 @@ RULES = {
     "camel": (rf"""[a-z0-9](?-i:Password|Passwd|Token|Secret|ApiKey|AccessKey|Pwd)["'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?P<v>{_PIECES}|{_BARE})""", "value"),
     "option": (rf"""--(?:[a-z]+-){{0,2}}{NAMES}(?:["']?,[ \t]*|[ \t]+|=)(?P<v>{_PIECES}|{_BARE})""", "value"),
     "prose": (rf"""(?<![a-z0-9]){NAMES}(?:[ \t]+(?:is|to|of|was|lautet|ist|est))?[ \t]+(?P<v>`[^`\n]+`|"[^"\n]+"|'[^'\n]+'|[^\s"'`,;()<>{{}}\[\]]+)""", "strong"),
-    "login": (r"""(?:login|user|account)[ \t]+\S{1,40}[ \t]*/[ \t]*(?P<v>\S+)""", "strong"),
-    "url": (r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]{0,60}:(?P<v>[^\s@/"'<>]+)@""", "userinfo"),
+    "login": (r"""(?:login|user|account)[ \t]+\S+?[ \t]*/[ \t]*(?P<v>\S+)""", "strong"),
+    "url": (r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]*+:(?P<v>[^\s@/"'<>]+)@""", "userinfo"),
     "bearer": (r"""(?:bearer|token)[ \t]+(?P<v>[^\s"'`,;<>]{8,})""", "strong"),
     "basic": (r"""basic[ \t]+(?P<v>[a-z0-9+/_-]{8,}={0,2})""", "basic"),
-    "user_option": (r"""(?:curl|wget|http)[^\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']{1,60}:(?P<v>[^\s"']+)""", "userinfo"),
+    "user_option": (r"""(?:curl|wget|http)[^\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']++:(?P<v>[^\s"']+)""", "userinfo"),
     "dash_p": (r"""(?:mysql|mariadb|mysqldump|mongo|sshpass|psql|redis-cli)[^\n]*?[ \t]-[pa](?P<v>'[^'\n]+'|"[^"\n]+"|[^\s"'-][^\s"']+)""", "userinfo"),
     "pair": (r"""auth[ \t]*=[ \t]*(?:\w+)?\([ \t]*["'][^"'\n]*["'][ \t]*,[ \t]*(?P<v>"[^"\n]*"|'[^'\n]*')""", "userinfo"),
     "aws": (r"(?<![a-z0-9+/])(?P<v>(?-i:AKIA|ASIA)[A-Z0-9]{16})(?![a-z0-9+/])", "token"),
@@ -51,6 +50,8 @@ _PLACEHOLDER = re.compile(
       | \.\.\. | … | x{6,} | \*{3,} | (?:^|[./:#])vault[./:#] | ^(?:vault|secrets?|env|ssm|kms|keyring|op)[:/] | secretsmanager | keyvault
       | ^(?:os|process|sys|config|cfg|settings|secrets|vault|args|self|ctx|env|request|params|options|opts|input|getpass|conf)\b[.\[(] | getenv | environ """
 )
+#: A key that holds a mark like … or **** is masked, unless this many characters in a row of it are there.
+_MASK, LEAST_KEY = re.compile(r"\.\.\.|…|x{6,}|\*{3,}", re.IGNORECASE), 40
 _REFERENCE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
 _COMPILED = {name: (re.compile(pattern, re.IGNORECASE), kind) for name, (pattern, kind) in RULES.items()}
 #: Rules that look for an option anywhere on the line of a command: the command's part.
@@ -59,11 +60,11 @@ _LITERAL = re.compile(r"""[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)
 
 
 def _strong(s: str) -> bool:
-    """Whether a word of prose looks made up: letters and digits, or letters that change case again and again."""
+    """Whether a word of prose looks made up: letters and digits, letters with signs among them, or letters that change case again and again."""
     if len(s) < 8 or re.fullmatch(r"[\w.-]+\.(?:py|sh|json|ya?ml|md|txt|env|prompt)|v?\d[\d.]*\w{0,3}|[a-z_]+_\d{1,3}|\d+-\w+", s, re.IGNORECASE):
         return False
     mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-    return mixed or (len(s) >= 10 and len(re.findall(r"[a-z][A-Z]", s)) >= 2)
+    return mixed or len(re.findall(r"[a-z][A-Z]", s)) >= 2 or bool(re.search(r"[A-Za-z][~!%$^&*?#@]+[A-Za-z]", s))
 
 
 def _plain_base64(s: str) -> str | None:
@@ -82,8 +83,8 @@ def holds(raw: str, kind: str) -> bool:
     quoted, value = bool(pieces), "".join(pieces) if pieces else raw
     value = value.strip().rstrip("," if quoted else ".,;:")
     if kind == "key":
-        body = re.sub(r"\\[rn]|[\s#*/]", "", value.split("-----END")[0])
-        return len(body) >= 16 and not _PLACEHOLDER.search(body[:200])
+        body = re.sub(r"\\[rn]|[\s#]", "", value.split("-----END")[0])
+        return len(body) >= 16 and (not _PLACEHOLDER.search(body) or max(map(len, _MASK.split(body))) >= LEAST_KEY)
     if _PLACEHOLDER.search(value) or len(value) < 6:
         return False
     if kind == "basic":
@@ -149,68 +150,66 @@ def blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def files_of(commits: DataFrame) -> DataFrame:
-    """(commit_hash, tree, path, fid, text) of the files of each commit, once per commit, tree, path and content.
+    """(commit_hash, tree, path, fid, text) of the files of each commit; fid is the SHA-256 of the text.
 
-    Null maps and null texts have no files; commits without a hash cannot be named and are left out.
+    Null maps and null texts have no files; commits without a hash cannot be named and are left out. A commit stored
+    repeatedly has its files repeatedly.
     """
     each = [commits.select(reference(F.col("commit_hash")).alias("commit_hash"), F.lit(t).alias("tree"), F.explode(t).alias("path", "text")) for t in ("prompts", "tools")]
-    return each[0].unionByName(each[1]).where("commit_hash is not null and text is not null").withColumn("fid", F.sha2("text", 256))
+    return each[0].unionByName(each[1]).where("commit_hash is not null and text is not null").withColumn("fid", F.unhex(F.sha2("text", 256)))
 
 
-def find(texts: DataFrame) -> DataFrame:
-    """(fid, lo, hi, line_no) of distinct texts (fid, text): spans of credentials and the line where each begins.
+def texts_of(files: DataFrame) -> DataFrame:
+    """(fid, text): each text once; inherited files and those of repeated commits are scanned once."""
+    return files.groupBy("fid", "text").agg(F.lit(1)).select("fid", "text")
 
-    1. texts are cut into chunks; 2. their trigrams are posted, as far as a rule requires them; 3. per rule the postings
-    are intersected to candidate chunks; 4. the regexes run on candidates only, each on those of its own rule. Of a text in
-    several chunks the whole is verified, by the rules of any of its chunks: values and lines may be longer than what a
-    chunk sees.
+
+def spans_of(texts: list[str], rules: trigrams.Rules) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(text, spans) of the texts with credentials, by their numbers.
+
+    1. Texts are cut into chunks; 2. their trigrams are posted, as far as a rule requires them; 3. per rule the postings
+    are intersected to candidate chunks; 4. the regexes run on the texts of candidates only, each on those of its own
+    rule, and on whole texts: values and lines may be longer than a chunk.
     """
-    rules = {name: trigrams.required(pattern) for name, (pattern, _) in RULES.items()}
-    chunked = cut(trigrams.chunks(texts))
-    wanted = trigrams.candidates(trigrams.postings(chunked, frozenset().union(*(alt for alts in rules.values() for alt in alts))), rules)
+    found = [(i, scan(texts[i], names)) for i, names in trigrams.candidate_rules(texts, rules)]
+    return [(i, spans) for i, spans in found if spans]
+
+
+def _rules() -> trigrams.Rules:
+    return trigrams.Rules({name: pattern for name, (pattern, _) in RULES.items()})
+
+
+def lines(texts: DataFrame) -> DataFrame:
+    """(fid, line_no) of texts (fid, text): the lines on which credentials begin."""
+    rules = _rules()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for fid, text, names in zip(*(b.column(c).to_pylist() for c in ("fid", "text", "rules"))):
-                for a, z, v in scan(text, names):
-                    out.append((fid, a, z, v, line_of(text, a)))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))], ["fid", "lo", "hi", "from", "line_no"])
-
-    several = F.expr("chunk > 0 or hi >= %d" % trigrams.CHUNK)
-    single = chunked.where(~several).join(wanted, ["fid", "chunk"]).select("fid", "text", "rules")
-    own = F.struct("chunk", F.expr("substr(text, int(lo - start + 1), int(hi - lo))").alias("t"))
-    named = wanted.groupBy("fid").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
-    parts = chunked.where(several).groupBy("fid").agg(F.array_sort(F.collect_list(own)).alias("parts"))  # of one text
-    whole = parts.join(named, "fid").select("fid", F.array_join("parts.t", "").alias("text"), "rules")
-    return single.unionByName(whole).mapInArrow(verify, "fid string, lo long, hi long, from long, line_no long")
-
-
-def credentials(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, hits): files_of() without text, and find() over their distinct texts; inherited files are scanned once."""
-    files = files_of(commits)
-    texts = files.groupBy("fid", "text").agg(F.lit(1)).select("fid", "text")
-    return files.drop("text").distinct(), find(texts)
+            held = b.column("text").to_pylist()
+            found = [(i, n) for i, spans in spans_of(held, rules) for n in sorted({line_of(held[i], a) for a, _, _ in spans})]
+            yield pa.RecordBatch.from_arrays([b.column("fid").take(pa.array([i for i, _ in found], pa.int64())), pa.array([n for _, n in found], pa.int64())], ["fid", "line_no"])
+
+    return texts.mapInArrow(search, "fid binary, line_no long")
 
 
 def places(commits: DataFrame) -> DataFrame:
     """(commit_hash, tree, path, line_no): one row per commit, file and line on which a credential starts."""
-    files, hits = credentials(commits)
-    return files.join(hits.select("fid", "line_no").distinct(), "fid").select("commit_hash", "tree", "path", "line_no").distinct()
+    files = files_of(commits)
+    return files.drop("text").join(lines(texts_of(files)), "fid").select("commit_hash", "tree", "path", "line_no").distinct()
 
 
 def redacted(commits: DataFrame) -> DataFrame:
     """(commit_hash, tree, path, text, n_spans): every file, credentials blanked, all else unchanged."""
-    files = files_of(commits)
-    texts = files.groupBy("fid", "text").agg(F.lit(1)).select("fid", "text")
-    spans = find(texts).groupBy("fid").agg(F.collect_set(F.struct("from", "hi")).alias("spans"))  # spans of one text
+    files, rules = files_of(commits), _rules()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
-            clean = [blank(t, [(s["from"], s["hi"]) for s in ss or []]) for t, ss in zip(texts, spans)]
-            yield pa.RecordBatch.from_arrays([b.column("fid"), pa.array(clean, pa.string()), pa.array([len(s or []) for s in spans], pa.int64())], ["fid", "text", "n_spans"])
-
-    clean = texts.join(spans, "fid", "left").mapInArrow(apply, "fid string, text string, n_spans long")
+            texts = b.column("text").to_pylist()
+            n = [0] * len(texts)
+            for i, spans in spans_of(texts, rules):
+                blanked = sorted({(v, z) for _, z, v in spans})
+                texts[i], n[i] = blank(texts[i], blanked), len(blanked)
+            yield pa.RecordBatch.from_arrays([b.column("fid"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["fid", "text", "n_spans"])
+
+    clean = texts_of(files).mapInArrow(apply, "fid binary, text string, n_spans long")
     return files.drop("text").distinct().join(clean, "fid").select("commit_hash", "tree", "path", "text", "n_spans")

@@ -1,147 +1,94 @@
-"""Trigram index over text chunks: required trigrams of regexes, postings, intersection."""
+"""Trigram index over chunks of texts: postings of the trigrams that regexes require, and their intersection.
 
-from __future__ import annotations
-
-import re._constants as sc
-import re._parser as sp
-from collections.abc import Iterator
-from itertools import product
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Texts are indexed in chunks of this many characters, each with this much of its surroundings before and after.
-CHUNK, OVERLAP = 65_536, 8_192
-#: Most alternative strings that are followed through a regex before a weaker condition is taken.
-MOST_STRINGS = 4_096
-
-
-def _grams(s: str) -> frozenset[str]:
-    return frozenset(s[i : i + 3] for i in range(len(s) - 2))
-
-
-def _weight(alternatives: set[str]) -> int:
-    return min(map(len, alternatives), default=0)
-
-
-def _walk(parsed: sp.SubPattern | list) -> tuple[set[str] | None, list[set[str]]]:
-    """(strings, conditions): all strings the pattern matches if they are few, else None; sets of strings of which one must occur."""
-    run: set[str] = {""}
-    whole, conditions = True, []
-
-    def end_run() -> None:
-        nonlocal run, whole
-        if _weight(run) >= 3:
-            conditions.append(run)
-        run, whole = {""}, False
-
-    def add(strings: set[str]) -> None:
-        nonlocal run
-        if len(run) * len(strings) > MOST_STRINGS:
-            end_run()
-        run = {a + b for a, b in product(run, strings)} if len(strings) <= MOST_STRINGS else run
-
-    for op, arg in parsed:
-        if op is sc.LITERAL:
-            add({chr(arg).lower()})
-        elif op is sc.IN and all(o is sc.LITERAL for o, _ in arg) and len(arg) <= 8:
-            add({chr(a).lower() for _, a in arg})
-        elif op is sc.AT or op is sc.ASSERT_NOT or op is sc.ASSERT:
-            continue
-        elif op is sc.SUBPATTERN or op is sc.ATOMIC_GROUP:
-            strings, inner = _walk(arg[-1] if op is sc.SUBPATTERN else arg)
-            if strings is not None:
-                add(strings)
-            else:
-                end_run()
-                conditions += inner
-        elif op is sc.BRANCH:
-            each = [_walk(a) for a in arg[1]]
-            if all(s is not None for s, _ in each):
-                add(set().union(*(s for s, _ in each)))
-            else:
-                end_run()
-                best = [s if s is not None else max(c, key=_weight, default=None) for s, c in each]
-                if all(b and _weight(b) >= 3 for b in best):
-                    conditions.append(set().union(*best))
-        elif op in (sc.MAX_REPEAT, sc.MIN_REPEAT, sc.POSSESSIVE_REPEAT):
-            low, high, inner = arg
-            strings, more = _walk(inner)
-            if strings is not None and high == 1 and low == 0:
-                add(strings | {""})
-            elif strings is not None and low == high and len(strings) == 1 and low < 64:
-                add({next(iter(strings)) * low})
-            else:
-                end_run()
-                if low and strings is None:
-                    conditions += more
-                elif low and _weight(strings) >= 3:
-                    conditions.append(strings)
-        else:
-            end_run()
-    if whole:
-        return run, []
-    end_run()
-    return None, conditions
-
-
-def required(pattern: str) -> list[frozenset[str]]:
-    """Alternatives of trigrams: a text that matches holds all trigrams of at least one alternative (lower case).
-
-    Of all conditions that the regex puts the longest is taken. A regex without any is refused: it would make every chunk
-    a candidate.
-    """
-    strings, conditions = _walk(sp.parse(pattern))
-    best = max([*conditions, *([strings] if strings else [])], key=_weight, default=set())
-    if _weight(best) < 3:
-        raise ValueError(f"no required trigram in {pattern!r}")
-    alternatives = {_grams(s) for s in best}
-    return sorted((a for a in alternatives if not any(b < a for b in alternatives)), key=sorted)  # a weaker one covers it
+The index is partitioned by text: all trigrams of a chunk are where the chunk is, so postings are built, intersected and
+used within the task that holds the texts, and nothing of the index is shuffled.
+"""
 
+from __future__ import annotations
 
-def chunks(texts: DataFrame) -> DataFrame:
-    """(fid, chunk, lo, hi, start, text) of (fid, text): text[start:…] is the chunk with its surroundings; it owns positions lo to hi."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for fid, text in zip(b.column("fid").to_pylist(), b.column("text").to_pylist()):
-                for n, lo in enumerate(range(0, max(len(text), 1), CHUNK)):
-                    start = max(0, lo - OVERLAP)
-                    out.append((fid, n, lo, min(lo + CHUNK, len(text)), start, text[start : lo + CHUNK + OVERLAP]))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["fid", "chunk", "lo", "hi", "start", "text"])
+import re
+from functools import reduce
 
-    return texts.where("text is not null").select("fid", "text").mapInArrow(split, "fid string, chunk int, lo long, hi long, start long, text string")
+import numpy as np
 
+from .patterns import required
 
-def postings(chunked: DataFrame, vocabulary: frozenset[str]) -> DataFrame:
-    """(gram, fid, chunk): the index, for the trigrams that any rule requires."""
+#: Texts are indexed in chunks of this many characters.
+CHUNK = 65_536
+#: Chunks are indexed in groups of about this many characters, which bounds a worker's memory.
+GROUP = 1_000_000
+_BETWEEN = "\uffff"  # no character; stands between chunks
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grams, fids, ns = [], [], []
-            for fid, n, text in zip(b.column("fid").to_pylist(), b.column("chunk").to_pylist(), b.column("text").to_pylist()):
-                t = text.lower()
-                found = vocabulary.intersection({t[i : i + 3] for i in range(len(t) - 2)})
-                grams += found
-                fids += [fid] * len(found)
-                ns += [n] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(fids, pa.string()), pa.array(ns, pa.int32())], ["gram", "fid", "chunk"])
 
-    return chunked.select("fid", "chunk", "text").mapInArrow(index, "gram string, fid string, chunk int")
+def _grams(s: str) -> set[str]:
+    return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
-def candidates(posted: DataFrame, rules: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(fid, chunk, rules): chunks whose postings hold all trigrams of an alternative of a rule.
+class Rules:
+    """The regexes (case ignored) of an index: required trigrams, numbered, and the alternatives of each rule.
 
-    The table of alternatives is as large as the rules, so it is broadcast; the intersection counts, per chunk and
-    alternative, how many of its postings' trigrams met.
+    `number` gives each code point the number of the character of a required string that it equals when case is ignored,
+    by the regex engine's own account (so the long s counts as s), or 0.
     """
-    spark = posted.sparkSession
-    ids = {alt: i for i, alt in enumerate(sorted({a for alts in rules.values() for a in alts}, key=sorted))}
-    wanted = F.broadcast(spark.createDataFrame([(g, i, len(alt)) for alt, i in ids.items() for g in sorted(alt)], "gram string, alt int, need int"))
-    owners = F.broadcast(spark.createDataFrame([(ids[alt], r) for r, alts in rules.items() for alt in alts], "alt int, rule string"))
-    met = posted.join(wanted, "gram").groupBy("fid", "chunk", "alt", "need").agg(F.count("*").alias("n")).where("n = need")
-    return met.join(owners, "alt").groupBy("fid", "chunk").agg(F.collect_set("rule").alias("rules"))  # at most one entry per rule
+
+    def __init__(self, patterns: dict[str, str]) -> None:
+        needs = {name: required(p) for name, p in patterns.items()}
+        alphabet = sorted({c for alts in needs.values() for a in alts for c in a})
+        if len(alphabet) > 63:
+            raise ValueError("more than 63 characters in required strings")
+        plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0xFFFF)]))
+        self.number = np.zeros(65_536, np.int64)
+        for k, c in enumerate(alphabet, 1):
+            self.number[[ord(x) for x in re.findall(re.escape(c), plane, re.IGNORECASE)]] = k
+        code = lambda g: reduce(lambda a, c: a * 64 + self.number[ord(c)], g, 0)
+        grams = sorted({int(code(g)) for alts in needs.values() for a in alts for g in _grams(a)})
+        self.gram = np.full(1 << 18, -1, np.int32)
+        self.gram[grams] = np.arange(len(grams))
+        self.count = len(grams)
+        self.alternatives = {name: [np.unique([self.gram[code(g)] for g in _grams(a)]) for a in alts] for name, alts in needs.items()}
+        #: Chunks see this many characters after their end, so that each required string lies within one.
+        self.overlap = max((len(a) for alts in needs.values() for a in alts), default=1) - 1
+
+
+def postings(chunks: list[str], rules: Rules) -> list[np.ndarray]:
+    """The index: of each required trigram the chunks that hold it, in order."""
+    codes = np.frombuffer(_BETWEEN.join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = rules.number[np.minimum(codes, 65_535)]
+    gram = rules.gram[np.where((n[:-2] > 0) & (n[1:-1] > 0) & (n[2:] > 0), n[:-2] * 4096 + n[1:-1] * 64 + n[2:], 0)] if len(n) > 2 else np.zeros(0, np.int32)
+    at = np.flatnonzero(gram >= 0)
+    starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+    held = np.unique(gram[at].astype(np.int64) * len(chunks) + np.searchsorted(starts, at, "right") - 1)
+    which, chunk = np.divmod(held, max(len(chunks), 1))
+    return np.split(chunk, np.searchsorted(which, np.arange(1, rules.count)))
+
+
+def candidates(posted: list[np.ndarray], rules: Rules) -> dict[str, np.ndarray]:
+    """Per rule the chunks that hold all trigrams of one of its alternatives: postings intersected, the shortest first."""
+    out = {}
+    for name, alts in rules.alternatives.items():
+        met = [reduce(lambda a, b: a[np.isin(a, b, assume_unique=True)] if len(a) else a, sorted((posted[g] for g in alt), key=len)) for alt in alts]
+        out[name] = np.unique(np.concatenate(met))
+    return out
+
+
+def candidate_rules(texts: list[str], rules: Rules) -> list[tuple[int, list[str]]]:
+    """(text, rules) of the texts of which any chunk is a candidate of a rule."""
+    met: dict[int, set[str]] = {}
+
+    def index(owner: list[int], chunks: list[str]) -> None:
+        for name, found in candidates(postings(chunks, rules), rules).items():
+            for c in found:
+                met.setdefault(owner[c], set()).add(name)
+
+    owner, chunks, size = [], [], 0
+    for i, text in enumerate(texts):
+        for lo in range(0, len(text), CHUNK):
+            chunks.append(text[lo : lo + CHUNK + rules.overlap])
+            owner.append(i)
+            size += len(chunks[-1])
+            if size >= GROUP:
+                index(owner, chunks)
+                owner, chunks, size = [], [], 0
+    if chunks:
+        index(owner, chunks)
+    return [(i, sorted(names)) for i, names in sorted(met.items())]
