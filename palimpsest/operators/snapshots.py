@@ -1,17 +1,18 @@
-"""Problem 4: what changed between full snapshots, by an index of key to row hash."""
+"""Problem 4: what changed between full snapshots, by a bucketed index of key to row hash that each snapshot probes and replaces."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.canonical import envelope, parse_object, plain, value_hash
 from ..functions.keys import reference
 from ..functions.names import Tracked, resolve, resolver
+from ..functions.once import once
 from ..session import cut
 from .spread import rank_within
 
@@ -52,7 +53,8 @@ def segment_index(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
 def snapshot_tables(manifests: DataFrame, tracked: list[Tracked]) -> tuple[DataFrame, DataFrame]:
     """(snapshots, entries) of each manifest, which counts once however often it was stored.
 
-    snapshots: (manifest, workspace, schema_version, taken_at); entries: (manifest, table_name, pos, segment, row_count).
+    snapshots: (manifest, workspace, schema_version, taken_at); entries: (manifest, workspace, table_name, pos, segment,
+    row_count), pos counting the entries of a table from 0.
     Manifests without hash, workspace or time cannot be placed and are left out.
     """
     version = F.regexp_replace(F.lower(F.trim(F.coalesce("schema_version", F.lit("")))), "^v", "")
@@ -64,29 +66,32 @@ def snapshot_tables(manifests: DataFrame, tracked: list[Tracked]) -> tuple[DataF
         .select("manifest", "m.*")
     )
     one = cut(one)
-    entries = one.select("manifest", "workspace", F.posexplode("entries").alias("pos", "e")).select(
-        "manifest", "workspace", resolve(F.col("e.table_name"), tracked).alias("table_name"), "pos", reference(F.col("e.segment")).alias("segment"), F.col("e.row_count").alias("row_count")
-    )
-    return one.drop("entries"), entries.where("table_name is not null")
+    named = F.transform("entries", lambda e: F.struct(resolve(e.table_name, tracked).alias("table_name"), reference(e.segment).alias("segment"), e.row_count.alias("row_count")))
+    each = once(one, e=named).select("manifest", "workspace", "e", F.explode(_names(tracked)).alias("table_name"))
+    entries = each.select("manifest", "workspace", "table_name", F.posexplode(F.filter("e", lambda e: e.table_name == F.col("table_name"))).alias("pos", "x"))
+    return one.drop("entries"), entries.select("manifest", "workspace", "table_name", "pos", "x.segment", "x.row_count")
+
+
+def _names(tracked: list[Tracked]) -> Column:
+    return F.array(*[F.lit(t.name) for t in tracked]) if tracked else F.array().cast("array<string>")
 
 
 def complete_snapshots(snapshots: DataFrame, entries: DataFrame, held_sizes: DataFrame, tracked: list[Tracked]) -> DataFrame:
-    """(workspace, table_name, seq, manifest, same): complete snapshots of each table in order of time.
+    """(workspace, table_name, seq, manifest, same, before, more): complete snapshots of each table in order of time.
 
     Complete: each entry's segment is there with exactly row_count rows; a snapshot without entries of a table is a
-    complete empty one. `same`: the version is that of the snapshot before (null for the first).
+    complete empty one. `same`: the version is that of the snapshot before (null for the first); `more`: one follows.
     """
     sizes = held_sizes
     ok = entries.join(sizes, "segment", "left").groupBy("manifest", "table_name").agg(F.min(F.coalesce(F.col("n_rows") == F.col("row_count"), F.lit(False))).alias("ok"))
-    tables = F.array(*[F.lit(t.name) for t in tracked]) if tracked else F.array().cast("array<string>")
-    each = snapshots.withColumn("table_name", F.explode(tables)).join(ok, ["manifest", "table_name"], "left").where(F.coalesce("ok", F.lit(True)))
+    each = snapshots.withColumn("table_name", F.explode(_names(tracked))).join(ok, ["manifest", "table_name"], "left").where(F.coalesce("ok", F.lit(True)))
     group = ["workspace", "table_name"]
     ranked = cut(rank_within(each.select(*group, "manifest", "taken_at", "schema_version"), group, ["taken_at", "manifest"], "seq"))
     # neighbours by equality of (group, place): no task sees all snapshots of a workspace
     before = ranked.select(*group, (F.col("seq") + 1).alias("seq"), F.col("manifest").alias("before"), F.col("schema_version").alias("v0"))
-    after = ranked.select(*group, (F.col("seq") - 1).alias("seq"), F.col("manifest").alias("later"), F.col("schema_version").alias("v1"))
+    after = ranked.select(*group, (F.col("seq") - 1).alias("seq"), F.lit(True).alias("more"))
     both = ranked.join(before, [*group, "seq"], "left").join(after, [*group, "seq"], "left")
-    return both.select(*group, "seq", "manifest", (F.col("v0") == F.col("schema_version")).alias("same"), "before", "later", (F.col("v1") == F.col("schema_version")).alias("later_same"))
+    return both.select(*group, "seq", "manifest", (F.col("v0") == F.col("schema_version")).alias("same"), "before", F.coalesce("more", F.lit(False)).alias("more"))
 
 
 def segment_sizes(segments: DataFrame) -> DataFrame:
@@ -95,47 +100,155 @@ def segment_sizes(segments: DataFrame) -> DataFrame:
     return held.where("segment is not null and n_rows >= 0").groupBy("segment").agg(F.max("n_rows").alias("n_rows"))
 
 
-def snapshot_changes(snapshots: DataFrame, entries: DataFrame, index: DataFrame, sizes: DataFrame, tracked: list[Tracked]) -> DataFrame:
-    """(workspace, table_name, pk, manifest, change, old_at, new_at): keys added, removed or changed since the complete snapshot before.
+def segment_runs(seqs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(workspace, table_name, segment, pos, a, b): from which to which complete snapshot a table has a segment at a place, without a break.
 
-    Rows of all snapshots are bucketed by key once and folded to the last envelope per key and snapshot; those of a key are
-    sorted by snapshot and compared with their neighbours. Only hashes (64 bits, without an exact check) and places (entry
-    of the manifest, element of its segment) move; values are fetched later by place, for changes alone. Between snapshots of unlike version nothing is reported.
+    b is null where the last snapshot has it. What successive snapshots share is one run and costs nothing after its first.
+    """
+    placed = entries.drop("row_count", "workspace").join(seqs.select("workspace", "manifest", "table_name", "seq", "more"), ["manifest", "table_name"]).drop("manifest")
+    by = ("workspace", "table_name", "segment", "pos")
+    island = F.col("seq") - F.row_number().over(W.partitionBy(*by).orderBy("seq"))
+    runs = placed.withColumn("_i", island).groupBy(*by, "_i").agg(F.min("seq").alias("a"), F.max("seq").alias("last"), F.bool_and("more").alias("_more"))
+    return runs.select(*by, "a", F.when(F.col("_more"), F.col("last")).alias("b"))
+
+
+INDEX = "workspace string, table_name string, pk string, segment string, pos int, at int, gone boolean, h long"
+_PROBED = "workspace string, table_name string, pk string, seq long, change string, old_at struct<pos:int,at:int>, new_at struct<pos:int,at:int>"
+
+
+class _Bucket:
+    """The index of one bucket of keys of one table: key to the envelopes that the last snapshot has for it, with their row hashes."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, list[tuple]] = {}
+        self.fresh: dict[str, list[tuple]] = {}
+        self.ends: dict[int, list[str]] = {}
+        self.now = 0
+
+    def probe(self, key: str, entry: tuple) -> None:
+        self.fresh.setdefault(key, []).append(entry)
+
+    def swap(self, seq: int) -> Iterator[tuple]:
+        """Changes that snapshot `seq` brings to the keys whose segments came or went; its envelopes take the place of those before.
+
+        An entry is (pos, at, gone, h, b); the last by (pos, at) decides.
+        """
+        touched = dict.fromkeys([*self.ends.pop(seq, ()), *self.fresh])
+        for key in touched:
+            held = self.index.get(key, [])
+            alive = [e for e in held if e[4] is None or e[4] >= seq] + self.fresh.get(key, [])
+            old, new = max(held, default=None, key=_place), max(alive, default=None, key=_place)
+            old, new = old if old and not old[2] else None, new if new and not new[2] else None
+            if alive:
+                self.index[key] = alive
+            else:
+                self.index.pop(key, None)
+            if (old or new) and not (old and new and old[3] == new[3]):
+                yield key, seq, "added" if old is None else "removed" if new is None else "changed", old and {"pos": old[0], "at": old[1]}, new and {"pos": new[0], "at": new[1]}
+        for key, entries in self.fresh.items():
+            for e in entries:
+                if e[4] is not None:
+                    self.ends.setdefault(e[4] + 1, []).append(key)
+        self.fresh = {}
+
+    def forward(self, upto: int | None) -> Iterator[tuple]:
+        """swap() for each snapshot before `upto` (None: all) at which segments come or go."""
+        if self.fresh:
+            yield from self.swap(self.now)
+        while due := [s for s in self.ends if upto is None or s < upto]:
+            yield from self.swap(min(due))
+        self.now = upto or 0
+
+
+def _place(entry: tuple) -> tuple:
+    return entry[:2]
+
+
+def probe_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (workspace, table_name, pk, a, b, pos, at, gone, h), sorted by table and a, to changes; memory holds the index of one bucket."""
+    schema = pa.schema([*[(c, pa.string()) for c in ("workspace", "table_name", "pk")], ("seq", pa.int64()), ("change", pa.string()), *[(c, pa.struct([("pos", pa.int32()), ("at", pa.int32())])) for c in ("old_at", "new_at")]])
+    group, bucket, out = None, _Bucket(), []
+
+    def batch() -> pa.RecordBatch:
+        cols = list(zip(*out)) or [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    for b in batches:
+        for workspace, table, pk, a, *entry in zip(*(b.column(c).to_pylist() for c in ("workspace", "table_name", "pk", "a", "pos", "at", "gone", "h", "b"))):
+            if (workspace, table) != group:
+                if group:
+                    out += [(*group, *c) for c in bucket.forward(None) if c[1] > 1]
+                group, bucket = (workspace, table), _Bucket()
+            if a != bucket.now:
+                out += [(*group, *c) for c in bucket.forward(a) if c[1] > 1]
+            bucket.probe(pk, tuple(entry))
+        if len(out) > 10_000:
+            yield batch()
+            out = []
+    if group:
+        out += [(*group, *c) for c in bucket.forward(None) if c[1] > 1]
+    yield batch()
+
+
+def indexed_runs(runs: DataFrame, segments: DataFrame, tracked: list[Tracked], index: DataFrame | None = None) -> DataFrame:
+    """Runs with the envelopes of their segments: INDEX and (a, b).
+
+    Segments are read once each, however many snapshots share them. What a stored `index` (the first snapshots', from
+    last_index()) has is taken from there, and segments that no other run has are not parsed.
+    """
+    runs = runs if index is None else cut(runs)
+    rest = runs
+    known: DataFrame | None = None
+    if index is not None:
+        tables = index.select("workspace", "table_name").distinct()
+        known = index.join(runs.where("a = 1"), ["workspace", "table_name", "segment", "pos"])
+        rest = runs.where("a > 1").unionByName(runs.where("a = 1").join(tables, ["workspace", "table_name"], "left_anti"))
+        key = reference(F.col("segment"))
+        segments = segments.withColumn("_s", key).join(rest.select(F.col("segment").alias("_s")).distinct(), "_s", "left_semi").drop("_s")
+    parsed = rest.join(segment_index(segments, tracked).select("segment", "items"), "segment").select("workspace", "table_name", "segment", "pos", "a", "b", F.inline("items"))
+    return parsed if known is None else parsed.unionByName(known)
+
+
+def snapshot_changes(seqs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(workspace, table_name, pk, manifest, manifest_before, change, old_at, new_at): keys added, removed or changed since the complete snapshot before.
+
+    rows: indexed_runs(). They are bucketed by key, sorted by snapshot within a bucket, and run through its index: each
+    snapshot's new rows probe the key-to-hash index of the one before and then take its place (swap). Segments that both
+    share are neither sent nor probed. Rows are compared by 64-bit hashes without an exact check; values are fetched later
+    by place, for changes alone. Between snapshots of unlike version nothing is reported. A bucket is a part of one
+    shuffle partition, so a task's memory is bounded by the partition size, whatever the size of a workspace or table.
     """
-    seqs = cut(complete_snapshots(snapshots, entries, sizes, tracked))
-    places = entries.drop("row_count").join(seqs.select("manifest", "table_name", "seq", "same", "later_same", F.col("later").isNotNull().alias("more")), ["manifest", "table_name"]).drop("manifest")
-    rows = places.join(index.select("segment", "items"), "segment").select("workspace", "table_name", "pos", "seq", "same", "later_same", "more", F.inline("items"))
     key = ("workspace", "table_name", "pk")
-    state = (
-        rows.repartition(*key).groupBy(*key, "seq", "same", "later_same", "more")
-        .agg(F.max(F.struct("pos", "at", "gone", "h")).alias("m"))
-        .where("not m.gone")
-    )
-    by_key = W.partitionBy(*key).orderBy("seq")
-    place = F.struct("m.pos", "m.at")
-    probed = state.select(*key, "seq", "same", "later_same", "more", F.col("m.h").alias("h"), place.alias("here"), F.lag("seq").over(by_key).alias("s0"), F.lag("m.h").over(by_key).alias("h0"), F.lag(place).over(by_key).alias("there"), F.lead("seq").over(by_key).alias("s1"))
-    kept = F.coalesce(F.col("s0") == F.col("seq") - 1, F.lit(False))
-    new = F.when(F.col("same") & ~kept, "added").when(F.col("same") & (F.col("h") != F.col("h0")), "changed")
-    out = F.array(
-        F.struct(F.col("seq").alias("seq"), new.alias("change"), F.when(kept, F.col("there")).alias("old_at"), F.col("here").alias("new_at")),
-        F.struct((F.col("seq") + 1).alias("seq"), F.when(F.col("more") & F.col("later_same") & ~F.coalesce(F.col("s1") == F.col("seq") + 1, F.lit(False)), "removed").alias("change"), F.col("here").alias("old_at"), F.lit(None).cast("struct<pos:int,at:int>").alias("new_at")),
-    )
-    changes = probed.select(*key, F.inline(F.filter(out, lambda c: c.change.isNotNull())))
-    named = seqs.select("workspace", "table_name", "seq", "manifest", F.col("before").alias("manifest_before"))
-    return changes.join(named, ["workspace", "table_name", "seq"]).select(*key, "manifest", "manifest_before", "change", "old_at", "new_at")
+    sent = rows.select(*key, "a", "b", "pos", "at", "gone", "h").repartition(*key).sortWithinPartitions("workspace", "table_name", "a")
+    named = seqs.where("same").select("workspace", "table_name", "seq", "manifest", F.col("before").alias("manifest_before"))
+    return sent.mapInArrow(probe_index, _PROBED).join(named, ["workspace", "table_name", "seq"]).select(*key, "manifest", "manifest_before", "change", "old_at", "new_at")
+
+
+def diff_snapshots(manifests: DataFrame, segments: DataFrame, tracked: list[Tracked], index: DataFrame | None = None) -> DataFrame:
+    """snapshot_changes() over stored manifests and segments.
+
+    With `index`, the last_index() of the earliest complete snapshot of each table given, only later snapshots are read:
+    a new snapshot costs the index and its new segments.
+    """
+    snapshots, entries = snapshot_tables(manifests, tracked)
+    seqs = cut(complete_snapshots(snapshots, entries, segment_sizes(segments), tracked))
+    return snapshot_changes(seqs, indexed_runs(segment_runs(seqs, entries), segments, tracked, index))
 
 
-def diff_snapshots(manifests: DataFrame, segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
-    """snapshot_changes over stored manifests and segments."""
+def last_index(manifests: DataFrame, segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
+    """INDEX of the last complete snapshot of each table, to be stored until the next snapshot comes."""
     snapshots, entries = snapshot_tables(manifests, tracked)
-    return snapshot_changes(snapshots, entries, segment_index(segments, tracked), segment_sizes(segments), tracked)
+    seqs = cut(complete_snapshots(snapshots, entries, segment_sizes(segments), tracked)).where("not more")
+    placed = entries.join(seqs.select("manifest", "table_name"), ["manifest", "table_name"]).select("workspace", "table_name", "segment", "pos")
+    rows = placed.join(segment_index(segments, tracked).select("segment", "items"), "segment").select("*", F.inline("items"))
+    return rows.select(*[c.split()[0] for c in INDEX.split(", ")])
 
 
 def fetch_values(changes: DataFrame, manifests: DataFrame, segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
     """changes with old_row and new_row (elements as stored), read for changed keys only."""
-    entries = snapshot_tables(manifests, tracked)[1].select(F.col("manifest").alias("m"), "pos", "segment")
+    entries = snapshot_tables(manifests, tracked)[1].select(F.col("manifest").alias("m"), F.col("table_name").alias("t"), "pos", "segment")
     for side, manifest in (("old", "manifest_before"), ("new", "manifest")):
-        changes = changes.join(entries, (F.col(manifest) == F.col("m")) & (F.col(f"{side}_at.pos") == F.col("pos")), "left").withColumn(f"{side}_in", F.struct("segment", f"{side}_at.at")).drop("m", "pos", "segment")
+        changes = changes.join(entries, (F.col(manifest) == F.col("m")) & (F.col("table_name") == F.col("t")) & (F.col(f"{side}_at.pos") == F.col("pos")), "left").withColumn(f"{side}_in", F.struct("segment", f"{side}_at.at")).drop("m", "t", "pos", "segment")
     wanted = changes.select(F.explode(F.array("old_in", "new_in")).alias("p")).where("p.segment is not null").select("p.segment", "p.at").distinct()
     held = segments.select(reference(F.col("segment")).alias("segment"), "rows").where("rows is not null").join(wanted.select("segment").distinct(), "segment", "left_semi")
     values = held.select("segment", F.posexplode("rows").alias("at", "value")).join(wanted, ["segment", "at"]).groupBy("segment", "at").agg(F.max("value").alias("value"))

@@ -61,3 +61,75 @@ def test_values_are_those_of_the_places(spark, small):
             x = brute.load(text)
             x = x["row"] if "row" in x else x
             assert r.pk in {brute.key(v) for v in x.values()}
+
+
+def naive(manifests, segments):
+    """Whole snapshots one after the other, by plain Python."""
+    import json
+
+    held, state, out = dict(segments), None, set()
+    for name, version, _, entries in sorted(manifests, key=lambda m: m[2]):
+        rows = {}
+        if any(len(held.get(s, ())) != n for s, n in entries):
+            continue
+        for s, _ in entries:
+            for x in map(json.loads, held[s]):
+                rows[str(x["row"]["id"])] = (x["op"], x["row"].get("v"))
+        rows = {k: v for k, (op, v) in rows.items() if op != "delete"}
+        if state is not None and state[0] == version:
+            out |= {(name, k, "added") for k in rows.keys() - state[1].keys()} | {(name, k, "removed") for k in state[1].keys() - rows.keys()}
+            out |= {(name, k, "changed") for k in rows.keys() & state[1].keys() if rows[k] != state[1][k]}
+        state = version, rows
+    return out
+
+
+def made(seed, n=14):
+    """Snapshots that share, reorder, repeat, drop and bring back segments with overlapping keys."""
+    import json
+    import random
+
+    r = random.Random(seed)
+    segments = [(f"s{k:02}", [json.dumps({"op": "delete" if r.random() < 0.15 else "insert", "row": {"id": r.randrange(12), "v": r.randrange(3)}}) for _ in range(r.randrange(1, 5))]) for k in range(8)]
+    size = {s: len(rows) for s, rows in segments}
+    manifests, now = [], ["s00", "s01", "s02"]
+    for k in range(n):
+        now = [x for x in now if r.random() > 0.25] + ([r.choice(segments)[0]] if r.random() < 0.8 else [])
+        if r.random() < 0.3:
+            r.shuffle(now)
+        manifests.append((f"m{k:02}", "2" if k > 10 else "1", k + 1, [(s, size[s] + (r.random() < 0.05)) for s in now]))
+    return manifests, segments
+
+
+def test_index_against_whole_snapshots(spark):
+    for seed in range(4):
+        manifests, segments = made(seed)
+        assert diff(spark, manifests, segments) == naive(manifests, segments) != set()
+
+
+def frames(spark, manifests, segments):
+    m = spark.createDataFrame([(h, "w", v, D(2026, 1, day), D(2026, 1, day), [("messages", "", "", s, n) for s, n in e], None, None) for h, v, day, e in manifests], MAN)
+    return m, spark.createDataFrame([(h, "messages", r, 0, None) for h, r in segments], SEG)
+
+
+def test_a_stored_index_takes_the_place_of_the_first_snapshot(spark, monkeypatch):
+    manifests, segments = made(3)
+    manifests = [m for m in manifests if all(len(dict(segments)[s]) == n for s, n in m[3])]
+    cut_at = 4
+    index = snapshots.last_index(*frames(spark, manifests[:cut_at], segments), TRACKED)
+    assert index.dtypes == spark.createDataFrame([], snapshots.INDEX).dtypes
+    parsed = []
+    real = snapshots.segment_index
+    monkeypatch.setattr(snapshots, "segment_index", lambda s, t: parsed.append({r.segment for r in s.select("segment").collect()}) or real(s, t))
+    later = got(snapshots.diff_snapshots(*frames(spark, manifests[cut_at - 1 :], segments), TRACKED, index).select("manifest", "pk", "change"))
+    assert later == {x for x in naive(manifests, segments) if x[0] >= manifests[cut_at][0]} != set()
+    first = {(s, k) for k, (s, _) in enumerate(manifests[cut_at - 1][3])}
+    assert parsed[0] == {s for m in manifests[cut_at:] for k, (s, _) in enumerate(m[3]) if (s, k) not in first} | (parsed[0] & {s for s, _ in first})
+
+
+def test_shared_segments_are_one_run(spark):
+    segments = [(f"s{k}", [f'{{"id":{k}}}']) for k in range(5)]
+    manifests = [(f"m{d}", "1", d, [(f"s{k}", 1) for k in range(4)] + ([("s4", 1)] if d > 3 else [])) for d in range(1, 7)]
+    m, _ = frames(spark, manifests, segments)
+    snaps, entries = snapshots.snapshot_tables(m, TRACKED)
+    seqs = snapshots.complete_snapshots(snaps, entries, spark.createDataFrame([(f"s{k}", 1) for k in range(5)], "segment string, n_rows long"), TRACKED)
+    assert got(snapshots.segment_runs(seqs, entries).select("segment", "a", "b")) == {*((f"s{k}", 1, None) for k in range(4)), ("s4", 4, None)}
