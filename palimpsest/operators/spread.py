@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def prefix_sum(df: DataFrame, group: str, order: str, value: str, out: str, salts: int = 64) -> DataFrame:
+def prefix_sum(df: DataFrame, group: str, order: str, value: str, out: str, salts: int | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group before this one.
 
     Order within a group is (salt, order), salt a hash of `order`; it is fixed but not that of `order` alone. A group is
-    split into `salts` windows, whose totals (at most `salts` rows a group) give each window its start.
+    split into `salts` windows (as many as there are shuffle partitions, at least 64), whose totals (at most `salts` rows a
+    group) give each window its start.
     """
+    salts = salts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
     before = W.partitionBy(group, "_salt").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(before), F.lit(0)))

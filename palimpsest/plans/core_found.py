@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import tracked_list
 from ..operators import changes, hierarchy, layouts, references, snapshots
-from ..session import table
+from ..session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,8 +66,8 @@ def _unified(name: str):
     return query
 
 
-def _tree(spark: SparkSession, d: str, paths: bool = False) -> DataFrame:
-    return hierarchy.hierarchy(hierarchy.links_of(table(spark, d, "commits"), F.col("commit_hash"), F.col("parent")), paths)
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(hierarchy.links_of(table(spark, d, "commits"), F.col("commit_hash"), F.col("parent")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d, True).select(F.col("id").alias("commit_hash"), F.array_join("path", "/").alias("path"), "depth", "state")
+    t = cut(_tree(spark, d))
+    return t.join(hierarchy.paths(t), "id", "left").select(F.col("id").alias("commit_hash"), F.array_join("path", "/").alias("path"), "depth", "state")
 
 
 def p6_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +84,7 @@ def p6_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    t = _tree(spark, d)
+    t = cut(_tree(spark, d))
     return hierarchy.descendants(t, t.where("state = 'tree'")).select(F.col("id").alias("commit_hash"), "descendant", "distance")
 
 

@@ -12,7 +12,7 @@ from ..functions import documents, scalars
 from ..functions.keys import reference
 from ..functions.names import bare_name, normal_name, resolve, tracked_list
 from ..operators import changes, folds, hierarchy, restoring, scanning, snapshots, trees
-from ..session import checkpoint_folder, table
+from ..session import checkpoint_folder, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,9 +315,9 @@ def _tip(spark, d):
     return commits_of(spark, d).where("branch = 'main'").orderBy(F.desc("committed_at"), "commit_hash").limit(1).select(F.col("commit_hash").alias("id"))
 
 
-def _history(spark, d):
-    t = hierarchy.hierarchy(hierarchy.links_of(table(spark, d, "commits"), F.col("commit_hash"), F.col("parent")))
-    return hierarchy.ancestors(t, _tip(spark, d)).select(F.col("ancestor").alias("commit_hash"), F.col("distance").alias("depth"))
+def _history(spark, d, steps=None):
+    links = cut(trees.against_parent(commits_of(spark, d)).select(F.col("commit_hash").alias("id"), "parent"))
+    return hierarchy.chain(links, _tip(spark, d), steps).select(F.col("id").alias("commit_hash"), F.col("distance").alias("depth"))
 
 
 @query(f"{WALK} SELECT commit_hash, depth::BIGINT AS depth FROM w")
@@ -511,7 +511,7 @@ def srt_tree(spark, d):
 
 @query(f"{WALK} SELECT commit_hash, depth::BIGINT AS depth FROM w WHERE depth < 20 ORDER BY depth")
 def srt_log_limit(spark, d):
-    return _history(spark, d).orderBy("depth").limit(20)  # --limit, 20 unless given
+    return _history(spark, d, 20).orderBy("depth")  # --limit, 20 unless given
 
 
 @query("SELECT id, name FROM agentic_migrations ORDER BY id DESC")
@@ -687,7 +687,7 @@ def vc_stage_tree(spark, d):
 
 @query(f"{WALK} SELECT w.commit_hash, c.message, w.depth::BIGINT AS depth FROM w JOIN c USING (commit_hash) WHERE w.depth < 20")
 def vc_log(spark, d):
-    return _history(spark, d).orderBy("depth").limit(20).join(commits_of(spark, d).select("commit_hash", "message"), "commit_hash").select("commit_hash", "message", "depth")
+    return _history(spark, d, 20).join(commits_of(spark, d).select("commit_hash", "message"), "commit_hash").select("commit_hash", "message", "depth")
 
 
 @query(f"SELECT branch, arg_max(commit_hash, committed_at) AS tip, count(*) AS n FROM {COMMITS} GROUP BY 1")

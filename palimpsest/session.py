@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -46,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and read it back; survives the loss of executors.
 
     Unlike a checkpointed plan the table has the size of its files, so that estimates do not multiply from round to round
-    of an iteration. The tables of an application are removed when it ends.
+    of an iteration. Tables of an iteration are removed when it is over (passing()), the rest when the application ends.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"
@@ -55,10 +57,47 @@ def cut(df: DataFrame) -> DataFrame:
         _remove_at_end(spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append((path, out))
+    return out
+
+
+def cut_with(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut() and aggregates over its rows."""
+    out = cut(df)
+    return out, out.agg(*[c.alias(n) for n, c in aggregates.items()]).first().asDict()
 
 
 _FOLDERS: set[str] = set()
+_SCOPES: list[list[tuple[str, DataFrame]]] = []
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are removed at the end, but for those given to `keep`; nothing outside may depend on the others."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        for path, df in _SCOPES.pop():
+            if any(df is k for k in kept):
+                if _SCOPES:
+                    _SCOPES[-1].append((path, df))
+            else:
+                remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove_at_end(spark: SparkSession, folder: str) -> None:

@@ -14,8 +14,8 @@ def links(spark, pairs):
     return H.links_of(df, F.col("n"), F.col("p"))
 
 
-def found(spark, pairs, **kw):
-    return H.hierarchy(links(spark, pairs), **kw)
+def found(spark, pairs):
+    return H.hierarchy(links(spark, pairs))
 
 
 def small_forest(seed, n=150):
@@ -32,8 +32,8 @@ def test_against_brute_force_with_cycles(spark):
 
 def test_nested_sets_paths_and_descendants(spark):
     pairs = {k: (v if v and v < k else None) for k, v in small_forest(7).items()}
-    t = found(spark, pairs.items(), paths=True)
-    rows = {r.id: r for r in t.collect()}
+    t = found(spark, pairs.items())
+    rows = {r.id: r for r in t.join(H.paths(t), "id", "left").collect()}
     below = {(r.id, r.descendant, r.distance) for r in H.descendants(t, t.select("id")).collect()}
     want = set()
     for i in rows:
@@ -82,3 +82,28 @@ def test_prefix_sum_of_a_hot_group(spark):
         starts = sorted(rows)
         assert starts[0][0] == 0 and sum(v for _, v in rows) == max(b + v for b, v in rows)
         assert {b for b, _ in rows} <= {0} | {b + v for b, v in rows}
+
+
+def test_depths_and_roots_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 7)
+    pairs = small_forest(5)
+    assert got(found(spark, pairs.items()).select("id", "root", "depth", "state")) == brute.p6(pairs)
+
+
+def test_chains_of_ancestors(spark):
+    up = spark.createDataFrame([(f"c{i:03}", f"c{i - 1:03}") for i in range(1, 150)] + [("a", "b"), ("b", "c"), ("c", "a")], "id string, parent string")
+    of = lambda i, n=None: got(H.chain(up, spark.createDataFrame([(i,)] if i else [], "id string"), n))
+    assert of("c140") == {(f"c{140 - k:03}", k) for k in range(141)}
+    assert of("c140", 20) == {(f"c{140 - k:03}", k) for k in range(20)} and of("c003", 20) == {(f"c{3 - k:03}", k) for k in range(4)}
+    assert of("c000") == {("c000", 0)} and of("a") == {("a", 0), ("b", 1), ("c", 2)} and of(None) == set()
+
+
+def test_tables_of_rounds_are_removed(spark):
+    import os
+
+    from palimpsest.session import checkpoint_folder
+
+    folder = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(os.listdir(folder))
+    t = found(spark, [(f"c{i:04}", f"c{i - 1:04}" if i else None) for i in range(300)])
+    assert t.count() == 300 and len(set(os.listdir(folder)) - before) <= 7
