@@ -31,7 +31,8 @@ def canonical(x: object) -> str:
 
 
 def value_hash(x: object) -> int:
-    h = xxh3_64_intdigest(canonical(x).encode("utf-8", "surrogatepass"))
+    """Hash by value of what parse_object() gave."""
+    h = xxh3_64_intdigest(_dumps(x).encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -56,9 +57,18 @@ def plain(key: object) -> str | None:
     return str(n)
 
 
+def _without_nulls(pairs: list[tuple[str, object]]) -> dict:
+    return {k: v for k, v in pairs if v is not None}
+
+
+#: Settles values while it reads them.
+_decode = json.JSONDecoder(parse_float=lambda s: number(float(s)), object_pairs_hook=_without_nulls).decode
+
+
 def parse_object(text: str | None) -> dict | None:
+    """The object of a JSON text, settled; null where the text is none."""
     try:
-        x = json.loads(text) if text else None
+        x = _decode(text) if text else None
     except (ValueError, RecursionError):
         return None
     return x if isinstance(x, dict) else None

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,20 +32,26 @@ def segment_index(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            pks, gone, hashes, ats, ends = [], [], [], [], [0]
             for name, rows in zip(b.column("table_name").to_pylist(), b.column("rows").to_pylist()):
                 key = pk.get(known.get((name or "").replace('"', "").strip().lower(), ""))
-                items: dict[str, dict] = {}
-                for at, text in enumerate(rows):
+                items: dict[str, tuple] = {}
+                for at, text in enumerate(rows if key is not None else ()):
                     x = parse_object(text)
-                    if x is None or key is None:
+                    if x is None:
                         continue
                     op, row = envelope(x)
                     k = plain(row.pop(key, None))
                     if k is not None and op in ("insert", "update", "delete"):
-                        items[k] = {"pk": k, "gone": op == "delete", "h": value_hash(row), "at": at}
-                out.append(list(items.values()))
-            yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("n_rows"), pa.array(out, pa.list_(_ITEM))], ["segment", "n_rows", "items"])
+                        items[k] = (op == "delete", value_hash(row), at)
+                pks += items
+                for g, h, at in items.values():
+                    gone.append(g)
+                    hashes.append(h)
+                    ats.append(at)
+                ends.append(len(pks))
+            flat = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((pks, gone, hashes, ats), _ITEM)], fields=list(_ITEM))
+            yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("n_rows"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["segment", "n_rows", "items"])
 
     stored = segments.select(reference(F.col("segment")).alias("segment"), "table_name", "rows").where("segment is not null and rows is not null")
     parsed = stored.withColumn("n_rows", F.size("rows").cast("long")).mapInArrow(index, "segment string, n_rows long, items array<struct<pk:string,gone:boolean,h:long,at:int>>")
@@ -117,76 +125,95 @@ _PROBED = "workspace string, table_name string, pk string, seq long, change stri
 
 
 class _Bucket:
-    """The index of one bucket of keys of one table: key to the envelopes that the last snapshot has for it, with their row hashes."""
+    """The index of one bucket of keys of one table: key to the envelopes that the last snapshot has for it, with their row hashes.
+
+    An envelope is (pos, at, gone, h, b); the last by (pos, at) decides, b is the last snapshot that has it (None: all).
+    """
 
     def __init__(self) -> None:
         self.index: dict[str, list[tuple]] = {}
-        self.fresh: dict[str, list[tuple]] = {}
         self.ends: dict[int, list[str]] = {}
-        self.now = 0
-
-    def probe(self, key: str, entry: tuple) -> None:
-        self.fresh.setdefault(key, []).append(entry)
-
-    def swap(self, seq: int) -> Iterator[tuple]:
-        """Changes that snapshot `seq` brings to the keys whose segments came or went; its envelopes take the place of those before.
-
-        An entry is (pos, at, gone, h, b); the last by (pos, at) decides.
-        """
-        touched = dict.fromkeys([*self.ends.pop(seq, ()), *self.fresh])
-        for key in touched:
-            held = self.index.get(key, [])
-            alive = [e for e in held if e[4] is None or e[4] >= seq] + self.fresh.get(key, [])
-            old, new = max(held, default=None, key=_place), max(alive, default=None, key=_place)
-            old, new = old if old and not old[2] else None, new if new and not new[2] else None
+
+    def swap(self, seq: int, fresh: Iterable[tuple[str, tuple]]) -> Iterator[tuple]:
+        """Changes that snapshot `seq` brings to the keys whose segments come or go; its envelopes take the place of those before."""
+        index, ends = self.index, self.ends
+        probes: dict[str, list[tuple]] = {key: [] for key in ends.pop(seq, ())}
+        for key, e in fresh:
+            probes.setdefault(key, []).append(e)
+            if e[4] is not None:
+                ends.setdefault(e[4] + 1, []).append(key)
+        for key, came in probes.items():
+            held = index.get(key, ())
+            alive = [e for e in held if e[4] is None or e[4] >= seq]
+            alive = alive + came if alive else came
+            old = held[0] if len(held) == 1 else max(held, default=None)
+            new = alive[0] if len(alive) == 1 else max(alive, default=None)
             if alive:
-                self.index[key] = alive
-            else:
-                self.index.pop(key, None)
-            if (old or new) and not (old and new and old[3] == new[3]):
-                yield key, seq, "added" if old is None else "removed" if new is None else "changed", old and {"pos": old[0], "at": old[1]}, new and {"pos": new[0], "at": new[1]}
-        for key, entries in self.fresh.items():
-            for e in entries:
-                if e[4] is not None:
-                    self.ends.setdefault(e[4] + 1, []).append(key)
-        self.fresh = {}
+                index[key] = alive
+            elif held:
+                del index[key]
+            was, here = old is not None and not old[2], new is not None and not new[2]
+            if was and here:
+                if old[3] != new[3]:
+                    yield key, seq, "changed", old, new
+            elif here:
+                yield key, seq, "added", None, new
+            elif was:
+                yield key, seq, "removed", old, None
 
     def forward(self, upto: int | None) -> Iterator[tuple]:
-        """swap() for each snapshot before `upto` (None: all) at which segments come or go."""
-        if self.fresh:
-            yield from self.swap(self.now)
+        """swap() for each snapshot before `upto` (None: all) at which segments go and none come."""
         while due := [s for s in self.ends if upto is None or s < upto]:
-            yield from self.swap(min(due))
-        self.now = upto or 0
+            yield from self.swap(min(due), ())
 
 
-def _place(entry: tuple) -> tuple:
-    return entry[:2]
+def _places(entries: list[tuple | None]) -> pa.Array:
+    values = [pa.array([0 if e is None else e[k] for e in entries], pa.int32()) for k in (0, 1)]
+    return pa.StructArray.from_arrays(values, ["pos", "at"], mask=pa.array([e is None for e in entries], pa.bool_()))
 
 
 def probe_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (workspace, table_name, pk, a, b, pos, at, gone, h), sorted by table and a, to changes; memory holds the index of one bucket."""
-    schema = pa.schema([*[(c, pa.string()) for c in ("workspace", "table_name", "pk")], ("seq", pa.int64()), ("change", pa.string()), *[(c, pa.struct([("pos", pa.int32()), ("at", pa.int32())])) for c in ("old_at", "new_at")]])
-    group, bucket, out = None, _Bucket(), []
+    """Rows (workspace, table_name, pk, a, b, pos, at, gone, h), sorted by table and a, to changes; memory holds the index of one bucket.
+
+    Rows of one table and snapshot are probed together, even where they come in several batches.
+    """
+    table, bucket, seq = None, _Bucket(), 0
+    fresh: list[Iterable[tuple[str, tuple]]] = []
+    out: list[tuple] = []  # (workspace, table_name), changes of a table after its first snapshot
+
+    def settle(upto: int | None) -> None:
+        changes = [*bucket.swap(seq, chain.from_iterable(fresh)), *bucket.forward(upto)]
+        fresh.clear()
+        if changes := [c for c in changes if c[1] > 1]:
+            out.append((table, changes))
 
     def batch() -> pa.RecordBatch:
-        cols = list(zip(*out)) or [[]] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        rows = [c for _, changes in out for c in changes]
+        key, at, change, old, new = zip(*rows) if rows else [()] * 5
+        named = [pa.array([t[k] for t, changes in out for _ in changes], pa.string()) for k in (0, 1)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([*named, pa.array(key, pa.string()), pa.array(at, pa.int64()), pa.array(change, pa.string()), _places(old), _places(new)], ["workspace", "table_name", "pk", "seq", "change", "old_at", "new_at"])
 
     for b in batches:
-        for workspace, table, pk, a, *entry in zip(*(b.column(c).to_pylist() for c in ("workspace", "table_name", "pk", "a", "pos", "at", "gone", "h", "b"))):
-            if (workspace, table) != group:
-                if group:
-                    out += [(*group, *c) for c in bucket.forward(None) if c[1] > 1]
-                group, bucket = (workspace, table), _Bucket()
-            if a != bucket.now:
-                out += [(*group, *c) for c in bucket.forward(a) if c[1] > 1]
-            bucket.probe(pk, tuple(entry))
-        if len(out) > 10_000:
+        if not b.num_rows:
+            continue
+        codes = [b.column(c).dictionary_encode().indices.to_numpy() for c in ("workspace", "table_name")] + [b.column("a").to_numpy()]
+        starts = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in codes], axis=0))))
+        pks, entries = b.column("pk").to_pylist(), list(zip(*(b.column(c).to_pylist() for c in ("pos", "at", "gone", "h", "b"))))
+        for lo, hi in zip(starts, [*starts[1:], b.num_rows]):
+            here, a = tuple(b.column(c)[int(lo)].as_py() for c in ("workspace", "table_name")), int(codes[2][lo])
+            if here != table:
+                if table:
+                    settle(None)
+                table, bucket, seq = here, _Bucket(), a
+            elif a != seq:
+                settle(a)
+                seq = a
+            fresh.append(zip(pks[lo:hi], entries[lo:hi]))
+        if len(out) > 1_000:
             yield batch()
-            out = []
-    if group:
-        out += [(*group, *c) for c in bucket.forward(None) if c[1] > 1]
+    if table:
+        settle(None)
     yield batch()
 
 

@@ -83,6 +83,10 @@ def p6_ranges(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).select(F.col("id").alias("commit_hash"), "root", "pre", "size")
 
 
+def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _tree(spark, d).where("state = 'tree'").select(F.col("id").alias("commit_hash"), "size")
+
+
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     t = cut(_tree(spark, d))
     return hierarchy.descendants(t, t.where("state = 'tree'")).select(F.col("id").alias("commit_hash"), "descendant", "distance")
@@ -91,5 +95,5 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_state": p1_state, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_layouts": p5_layouts,
     "p5_table_episodes": _unified("public.episodes"), "p5_table_messages": _unified("messages"), "p5_table_checkpoints": _unified("public.checkpoints"), "p5_table_facts": _unified("agent.facts"),
-    "p6_found": p6_found, "p6_paths": p6_paths, "p6_ranges": p6_ranges, "p6_descendants": p6_descendants,
+    "p6_found": p6_found, "p6_paths": p6_paths, "p6_ranges": p6_ranges, "p6_descendants": p6_descendants, "p6_sizes": p6_sizes,
 }

@@ -76,4 +76,16 @@ P6_PATHS = f"""WITH RECURSIVE {_TREE}, rest AS MATERIALIZED (SELECT * FROM l WHE
 P6_DESCENDANTS = f"""WITH RECURSIVE {_TREE}, a AS (SELECT commit_hash, path, depth, unnest(string_split(path, '/')) AS above, generate_subscripts(string_split(path, '/'), 1) - 1 AS level FROM t)
   SELECT above AS commit_hash, commit_hash AS descendant, depth - level AS distance FROM a WHERE above <> commit_hash"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p2_report": P2_REPORT, "p4_found": P4, "p5_found": P5, "p5_layouts": P5_LAYOUTS, "p6_found": P6, "p6_paths": P6_PATHS, "p6_descendants": P6_DESCENDANTS}
+P6_SIZES = f"SELECT c.commit_hash, 1 + count(d.descendant) AS size FROM {COMMITS} c LEFT JOIN ({P6_DESCENDANTS}) d ON d.commit_hash = c.commit_hash WHERE c.commit_hash IN (SELECT commit_hash FROM ({P6}) WHERE state = 'tree') GROUP BY 1"
+
+#: P4 with the places of the elements that decide, and their text as stored (of repeated segments the greatest).
+_RAW = f"""raw AS MATERIALIZED (SELECT segment, "at", max(value) AS value FROM (SELECT {norm('segment')} AS segment, unnest(generate_series(0, len(rows) - 1)) AS "at", unnest(rows) AS value FROM segments) GROUP BY 1, 2)"""
+P4_VALUES = (
+    P4.replace("WITH m AS", f"WITH {_RAW}, m AS", 1)
+    .replace('arg_max(v.val, row(en.pos, v."at")) AS val FROM', 'arg_max(v.val, row(en.pos, v."at")) AS val, arg_max(row(v.segment, v."at"), row(en.pos, v."at")) AS place FROM')
+    .replace("b.n, b.manifest FROM seq a", "b.n, b.manifest, a.manifest AS manifest_before FROM seq a")
+    .replace("l.pk, l.val FROM pairs p", "l.pk, l.val, l.place FROM pairs p")
+    .replace("coalesce(w.manifest, o.manifest) AS manifest,", "coalesce(w.manifest, o.manifest) AS manifest, coalesce(w.manifest_before, o.manifest_before) AS manifest_before, (SELECT value FROM raw WHERE raw.segment = o.place[1] AND raw.\"at\" = o.place[2]) AS old_row, (SELECT value FROM raw WHERE raw.segment = w.place[1] AND raw.\"at\" = w.place[2]) AS new_row,")
+)
+
+SQL = {"p1_found": P1, "p2_found": P2, "p2_report": P2_REPORT, "p4_found": P4, "p5_found": P5, "p5_layouts": P5_LAYOUTS, "p6_found": P6, "p6_paths": P6_PATHS, "p6_descendants": P6_DESCENDANTS, "p6_sizes": P6_SIZES, "p4_values": P4_VALUES}

@@ -114,7 +114,7 @@ def src_prompt_dir(spark, d):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
-@query()
+@query("SELECT p_partkey, p_name, p_size FROM part")
 def snk_segment(spark, d):
     from ..store import write_segment
 
@@ -444,9 +444,19 @@ def agg_entropy(spark, d):
     return scanning.entropy_runs(_contents(spark, d), "hash", "text").select("hash", "run", "entropy")
 
 
-@query()
+#: Depth by brackets: strings out, empty containers as scalars; each other container adds one level.
+BARE = """regexp_replace(regexp_replace(text, '"(\\\\.|[^"\\\\])*"', 'x', 'g'), '[\\[{]\\s*[\\]}]', 'x', 'g')"""
+
+
+@query(
+    f"""SELECT depth, count(*) AS n FROM (SELECT hash, any_value(copies) AS copies, max(level)::INT + 1 AS depth FROM (SELECT hash, copies, sum(CASE WHEN c IN ('{{', '[') THEN 1 WHEN c IN ('}}', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY hash ORDER BY i) AS level
+  FROM (SELECT hash, copies, unnest(string_split(b, '')) AS c, generate_subscripts(string_split(b, ''), 1) AS i FROM (SELECT hash, count(*) AS copies, any_value({BARE}) AS b FROM {files('tools')} WHERE json_valid(text) GROUP BY 1))) GROUP BY 1), range(copies) GROUP BY 1
+  UNION ALL SELECT NULL, n FROM (SELECT count(*) AS n FROM {files('tools')} WHERE NOT coalesce(json_valid(text), false)) WHERE n > 0"""
+)
 def agg_json_depth(spark, d):
-    return entries_of(spark, d, "tools").where("name like '%.json'").groupBy(documents.json_depth("text").alias("depth")).agg(F.count("*").alias("n"))
+    """Depths of all files, null for those that are no JSON; each content is parsed once."""
+    each = entries_of(spark, d, "tools").groupBy("hash").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    return each.groupBy(documents.json_depth("text").alias("depth")).agg(F.sum("copies").alias("n"))
 
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -643,7 +653,7 @@ def fn_thread_branch(spark, d):
     return table(spark, d, "documents").select(F.col("speaker").alias("thread")).distinct().select("thread", documents.thread_branch("thread").alias("branch"))
 
 
-@query()
+@query("SELECT event_no, row FROM change_events WHERE table_name LIKE '%checkpoints'")
 def fn_checkpoint_codec(spark, d):
     part = lambda c: F.struct(F.lit("bytes").alias("type"), F.base64(c.cast("binary")).alias("data_b64"))
     env = table(spark, d, "change_events").where("table_name like '%checkpoints'").select("event_no", F.to_json(F.struct(F.lit(1).alias("v"), F.col("event_no").cast("string").alias("thread_id"), part(F.col("row")).alias("checkpoint"), part(F.col("op")).alias("metadata"))).alias("envelope"))
@@ -744,12 +754,29 @@ def vc_integrity(spark, d):
     return _contents(spark, d).select("hash", (scalars.content_hash(F.col("text")) == F.col("hash")).alias("intact"))
 
 
-@query()
+def _tree_hash(tree):
+    return f"(SELECT commit_hash, sha256(string_agg(name || '=' || hash, chr(10) ORDER BY name, hash)) AS h FROM {files(tree)} GROUP BY 1)"
+
+
+def _part(name, value):
+    return f"'{name}=' || coalesce(chr(39) || {value} || chr(39), 'null')"
+
+
+@query(
+    f"""SELECT commit_hash, sha256(concat_ws(chr(10), {', '.join(_part(n, v) for n, v in (("code_sha", "code_sha"), ("prompts", "p.h"), ("tools", "t.h"), ("model", "model"), ("memory_snapshot", "memory_snapshot"), ("schema_version", "schema_version")))})) AS tuple_hash
+  FROM {COMMITS} c LEFT JOIN {_tree_hash('prompts')} p USING (commit_hash) LEFT JOIN {_tree_hash('tools')} t USING (commit_hash)"""
+)
 def vc_tuple_hash(spark, d):
     return trees.tuple_hash(table(spark, d, "commits"))
 
 
-@query()
+CHANGE_KEY = "CASE t WHEN 'agent.facts' THEN body->>'$.fact_id' WHEN 'public.checkpoints' THEN body->>'$.checkpoint_id' ELSE body->>'$.id' END"
+
+
+@query(
+    f"""SELECT t AS table_name, CASE WHEN regexp_full_match(k, '-?[0-9]+\\.0+') THEN regexp_replace(k, '\\.0+$', '') ELSE k END AS pk, max(id) AS id FROM (SELECT *, {CHANGE_KEY} AS k FROM (SELECT *, CASE WHEN json_exists(j, '$.row') AND json_exists(j, '$.op') THEN j->'$.row' ELSE j END AS body FROM
+  (SELECT event_no AS id, {RESOLVED} AS t, {clean('op')} AS o, CASE WHEN json_valid(row) THEN row::JSON END AS j FROM change_events))) WHERE t IS NOT NULL AND o IN ('insert', 'update', 'delete') AND trim(k) <> '' GROUP BY 1, 2 HAVING arg_max(o, id) <> 'delete'"""
+)
 def agg_change_state(spark, d):
     """The fold of problem 1 over the second feed, whose order is event_no."""
     feed = table(spark, d, "change_events").withColumnRenamed("event_no", "id")

@@ -15,7 +15,8 @@ from ..operators import trees
 from ..session import cut, table
 from ..store import Checkpointer, Store
 from ..streaming import capture
-from .reference_queries import COMMITS, commits_of, files
+from .reference_queries import COMMITS, PROBLEM, commits_of, files
+from .stream_queries import READ_LOG
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -130,6 +131,10 @@ SQL = {
     "snk_fs_store": f"SELECT DISTINCT hash, true AS intact, strlen(text) AS size FROM {files('tools')}",
     "src_body_cap": f"SELECT commit_hash, name, strlen(text) AS size FROM {files('tools')} WHERE strlen(text) <= 1048576",
     "st_capture": f"SELECT 'customer' AS table_name, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN n.c_custkey IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(n.c_custkey, o.c_custkey) AS pk FROM {_OLD} o FULL JOIN {_NEW} n ON o.c_custkey = n.c_custkey WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_name <> n.c_name",
+    "st_drain_strict": f"SELECT CASE WHEN count(*) FILTER (({PROBLEM}) IS NOT NULL) > 0 THEN 'refused' ELSE 'drained' END AS outcome FROM {READ_LOG}",
+    "st_seed": f"SELECT 'customer' AS table_name, 0 AS seal_seq, 0::BIGINT AS event_count UNION ALL SELECT 'customer', 1, count(*) FROM {_NEW}",
+    "vc_stage": "SELECT * FROM (VALUES ('bad', ['system.txt']), ('baseline', ['system.txt'])) t(message, prompts)",
+    "vc_checkpointer": "SELECT 'bytes' AS type, 'state 2' AS data",
     "vc_status": f"SELECT branch, max(committed_at) AS last, count(*) AS n FROM {COMMITS} GROUP BY 1",
     "vc_snapshot": "SELECT p_partkey, p_name, p_size FROM part",
     "vc_commit": "SELECT p_partkey, p_name, p_size FROM part WHERE NOT p_size > 25",

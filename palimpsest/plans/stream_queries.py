@@ -52,11 +52,11 @@ def st_take_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(refs, "table_name string, seal_seq int, pk_lo string, pk_hi string, event_count long").groupBy("table_name").agg(F.min("pk_lo").alias("pk_lo"), F.max("pk_hi").alias("pk_hi"), F.sum("event_count").alias("event_count"))
 
 
-_READ = f"""(SELECT *, CASE WHEN json_exists(j, '$.row') AND json_exists(j, '$.op') THEN j->'$.row' ELSE j END AS body FROM
+READ_LOG = f"""(SELECT *, CASE WHEN json_exists(j, '$.row') AND json_exists(j, '$.op') THEN j->'$.row' ELSE j END AS body FROM
   (SELECT id, {RESOLVED} AS t, {clean('op')} AS o, CASE WHEN json_valid(row) THEN row::JSON END AS j FROM agentic_change_log))"""
 
 QUERIES = {"st_poll": st_poll, "st_ack": st_ack, "st_head_state": st_head_state, "st_take_snapshot": st_take_snapshot}
 SQL = {
-    "st_poll": f"SELECT coalesce({PROBLEM}, 'applied') AS outcome, count(*) AS n FROM {_READ} GROUP BY 1",
-    "st_ack": f"SELECT t AS table_name, o AS op, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM {_READ} WHERE ({PROBLEM}) IS NULL GROUP BY 1, 2",
+    "st_poll": f"SELECT coalesce({PROBLEM}, 'applied') AS outcome, count(*) AS n FROM {READ_LOG} GROUP BY 1",
+    "st_ack": f"SELECT t AS table_name, o AS op, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM {READ_LOG} WHERE ({PROBLEM}) IS NULL GROUP BY 1, 2",
 }
