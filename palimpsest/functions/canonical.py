@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from xxhash import xxh3_64_intdigest
 
@@ -31,7 +32,7 @@ def canonical(x: object) -> str:
 
 
 def value_hash(x: object) -> int:
-    """Hash by value of what parse_object() gave."""
+    """Hash by value of what an object_reader() gave."""
     h = xxh3_64_intdigest(_dumps(x).encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
@@ -61,17 +62,18 @@ def _without_nulls(pairs: list[tuple[str, object]]) -> dict:
     return {k: v for k, v in pairs if v is not None}
 
 
-#: Settles values while it reads them.
-_decode = json.JSONDecoder(parse_float=lambda s: number(float(s)), object_pairs_hook=_without_nulls).decode
+def object_reader() -> Callable[[str | None], dict | None]:
+    """A function from JSON texts to their objects, settled while they are read; None for a text that is no object."""
+    decode = json.JSONDecoder(parse_float=lambda s: number(float(s)), object_pairs_hook=_without_nulls).decode
 
+    def read(text: str | None) -> dict | None:
+        try:
+            x = decode(text) if text else None
+        except (ValueError, RecursionError):
+            return None
+        return x if isinstance(x, dict) else None
 
-def parse_object(text: str | None) -> dict | None:
-    """The object of a JSON text, settled; null where the text is none."""
-    try:
-        x = _decode(text) if text else None
-    except (ValueError, RecursionError):
-        return None
-    return x if isinstance(x, dict) else None
+    return read
 
 
 def envelope(x: dict) -> tuple[str, dict | None]:

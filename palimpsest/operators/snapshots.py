@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.canonical import envelope, parse_object, plain, value_hash
+from ..functions.canonical import envelope, object_reader, plain, value_hash
 from ..functions.keys import reference
 from ..functions.names import Tracked, resolve, resolver
 from ..functions.once import once
@@ -31,13 +31,14 @@ def segment_index(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
     known = resolver(tracked)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = object_reader()
         for b in batches:
             pks, gone, hashes, ats, ends = [], [], [], [], [0]
             for name, rows in zip(b.column("table_name").to_pylist(), b.column("rows").to_pylist()):
                 key = pk.get(known.get((name or "").replace('"', "").strip().lower(), ""))
                 items: dict[str, tuple] = {}
                 for at, text in enumerate(rows if key is not None else ()):
-                    x = parse_object(text)
+                    x = read(text)
                     if x is None:
                         continue
                     op, row = envelope(x)
