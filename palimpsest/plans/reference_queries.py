@@ -108,12 +108,6 @@ def src_change_log(spark, d):
     return table(spark, d, "agentic_change_log").select("id", "table_name").distinct().orderBy("id").limit(1000)  # a batch of the log
 
 
-@query()
-def src_prompt_dir(spark, d):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(d)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
-
-
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def snk_segment(spark, d):
     from ..store import write_segment
@@ -411,6 +405,17 @@ def agg_pack(spark, d):
     return packed.groupBy("segment_no").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("event_id").alias("pk_lo"), F.max("event_id").alias("pk_hi"))
 
 
+@query(
+    f"""WITH RECURSIVE r AS MATERIALIZED {RUNNING}, g AS (SELECT 0 AS segment_no, (SELECT min(event_id) - 1 FROM r) AS lo, (SELECT min(event_id) FROM r WHERE running >= 4096) AS hi
+    UNION ALL SELECT segment_no + 1, hi, (SELECT min(event_id) FROM r WHERE running >= (SELECT max(running) FROM r WHERE event_id = g.hi) + 4096) FROM g WHERE hi IS NOT NULL)
+  SELECT segment_no::BIGINT AS segment_no, count(*) AS n, sum(size)::BIGINT AS bytes, min(event_id) AS pk_lo, max(event_id) AS pk_hi FROM g JOIN r ON event_id > lo AND event_id <= coalesce(hi, event_id) GROUP BY 1"""
+)
+def agg_pack_greedy(spark, d):
+    """Packing as a writer does it: append, then seal when the target is reached."""
+    packed = folds.pack_greedily(_sized(spark, d), "event_id", "size", 4096)
+    return packed.groupBy("segment_no").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("event_id").alias("pk_lo"), F.max("event_id").alias("pk_hi"))
+
+
 @query(f"SELECT segment, table_name, min(try_cast(pk AS BIGINT)) AS pk_lo, max(try_cast(pk AS BIGINT)) AS pk_hi, count(*) AS row_count FROM {KEYED} WHERE table_name IN ('messages', 'public.episodes') GROUP BY 1, 2")
 def agg_pk_range(spark, d):
     e = restoring.envelopes(table(spark, d, "segments"), tracked_of(spark, d)).where("table_name in ('messages', 'public.episodes')")
@@ -485,6 +490,30 @@ def win_adjacent_check(spark, d):
     return folds.adjacent_violations(manifest_entries(spark, d), "manifest", "pos")
 
 
+def _key_sql(c):
+    return f"row(try_cast({c} AS DOUBLE) IS NULL, coalesce(try_cast({c} AS DOUBLE), 0), trim({c}, '\"'))"
+
+
+@query(
+    f"""SELECT manifest, count(*) FILTER (h < b) AS n_unsorted, count(*) FILTER (h = b) AS n_repeated, coalesce(trim(any_value(version)) = '', true) AS no_version FROM
+  (SELECT manifest, version, h, lag(h) OVER (PARTITION BY manifest ORDER BY pos) AS b FROM (SELECT e.manifest, e.pos, v.version, row(e.e.table_name, {_key_sql('e.e.pk_lo')}, {_key_sql('e.e.pk_hi')}) AS h FROM {ENTRIES} e
+   JOIN (SELECT {norm('manifest')} AS manifest, arg_min(schema_version, stored_at) AS version FROM segment_manifests GROUP BY 1) v ON v.manifest = e.manifest)) GROUP BY 1"""
+)
+def win_manifest_check(spark, d):
+    """All that a manifest is refused for: order and repeats by true key order, and an empty version."""
+    versions = table(spark, d, "segment_manifests").select(reference(F.col("manifest")).alias("manifest"), "schema_version", F.coalesce("stored_at", "taken_at").alias("s")).groupBy("manifest").agg(F.min_by("schema_version", "s").alias("schema_version"))
+    return folds.manifest_violations(manifest_entries(spark, d).join(versions, "manifest"), "manifest", "pos", F.col("schema_version"))
+
+
+@query()
+def win_replay_batches(spark, d):
+    """Batches of replay: equal shape, no key twice, capped in rows and parameters."""
+    e = restoring.envelopes(table(spark, d, "segments"), tracked_of(spark, d))
+    fields = F.json_object_keys(F.to_json("v"))
+    mode = F.when(F.col("op") == "delete", "delete").otherwise("upsert")
+    return folds.replay_batches(e, "segment", "at", F.concat(mode, F.lit(":"), F.array_join(F.array_sort(fields), ",")), F.col("pk"), F.size(fields))
+
+
 @query(
     f"""SELECT segment, run, shape, min("at")::BIGINT AS first, count(*) AS n FROM (SELECT segment, "at", shape, sum(new) OVER (PARTITION BY segment ORDER BY "at") AS run FROM (SELECT segment, "at", shape, (lag(shape) OVER (PARTITION BY segment ORDER BY "at") IS DISTINCT FROM shape)::INT AS new
   FROM (SELECT segment, "at", op || ':' || array_to_string(list_sort(json_keys(row)), ',') AS shape FROM {ELEMENTS}))) GROUP BY 1, 2, 3"""

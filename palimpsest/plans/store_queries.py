@@ -13,18 +13,19 @@ from ..functions import scalars
 from ..functions.names import tracked_list
 from ..operators import trees
 from ..session import cut, table
+from ..shared import SharedPath
+from ..sources import prompt_files
 from ..store import Checkpointer, Store
 from ..streaming import capture
-from .reference_queries import COMMITS, PROBLEM, commits_of, files
+from .reference_queries import COMMITS, PROBLEM, TIP, commits_of, files
 from .stream_queries import READ_LOG
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
 
 def _store(spark: SparkSession) -> Store:
-    """A store in the shared folder; refs and objects are small files, so the folder is given as a path."""
-    root = capture.scratch(spark, "store").removeprefix("file://").removeprefix("file:")
-    s = Store(spark, root, {"customer": "c_custkey", "part": "p_partkey"}, approval.Gate(b"key"))
+    """A store in the shared folder."""
+    s = Store(spark, capture.scratch(spark, "store"), {"customer": "c_custkey", "part": "p_partkey"}, approval.Gate(b"key"))
     s.init()
     return s
 
@@ -46,6 +47,17 @@ def src_body_cap(spark: SparkSession, d: str) -> DataFrame:
     return trees.tree_entries(table(spark, d, "commits"), "tools").where(size <= 2**20).select("commit_hash", "name", size.alias("size"))
 
 
+def src_prompt_dir(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the last commit on main, written to a folder as an agent's working copy has them, and read back."""
+    tip = commits_of(spark, d).where("branch = 'main'").orderBy(F.desc("committed_at"), "commit_hash").limit(1).select("commit_hash")
+    wanted = trees.tree_entries(table(spark, d, "commits"), "prompts").join(F.broadcast(tip), "commit_hash").select("name", F.coalesce("text", F.lit("")).alias("text")).collect()  # one commit
+    folder = SharedPath(spark, capture.scratch(spark, "prompts"))
+    folder.mkdir()
+    for r in wanted:
+        (folder / r.name).write_text(r.text)
+    return prompt_files(spark, str(folder))
+
+
 def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     seg = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
@@ -73,7 +85,7 @@ def st_seed(spark: SparkSession, d: str) -> DataFrame:
     """A sink seeded with a baseline: its refs come first, later batches follow in seal order."""
     sink = capture.SegmentSink(capture.scratch(spark, "seed"), [{"table_name": "customer", "seal_seq": 0, "pk_lo": "0", "pk_hi": "0", "event_count": 0}])
     sink(_states(spark, d)[1].select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("pk"), "c_name"), 0)
-    return spark.createDataFrame([(r["table_name"], int(r["seal_seq"]), int(r["event_count"])) for r in sink.manifest(spark)], "table_name string, seal_seq int, event_count long")
+    return sink.manifest(spark).select("table_name", F.col("seal_seq").cast("int").alias("seal_seq"), "event_count")
 
 
 def vc_status(spark: SparkSession, d: str) -> DataFrame:
@@ -106,9 +118,19 @@ def vc_stage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vc_rollback(spark: SparkSession, d: str) -> DataFrame:
-    s, a, _ = _committed(spark, d)
-    c = s.rollback(a, NOW, migrations=["0.1.0"])
-    return s.restore(s.read_commit(c).memory_snapshot, "part").select("p_partkey", "p_name", "p_size")
+    """Back to the baseline past a migration, with its token; the commit that holds the migration has one more column and fewer rows."""
+    s, a, b = _committed(spark, d)
+    tables = {t: s.restore(s.read_commit(b).memory_snapshot, t) for t in ("customer", "part")}
+    tables["part"] = tables["part"].withColumn("p_note", F.lit("new"))
+    s.commit("main", "migrated", NOW, prompts={"system.txt": "three"}, memory_snapshot=s.snapshot(tables, "0.2.0"), schema_version="0.2.0")
+    token = approval.issue(b"key", "reverse_migration", a, 7, int(NOW.timestamp()))
+    down = {"0.2.0": lambda t, df: df.drop("p_note")}
+    c = s.rollback(a, NOW, migrations=["0.1.0", "0.2.0"], down=down, token=token, uid=7, keep_present=True)
+    now, before = s.restore(s.read_commit(c).memory_snapshot, "part", "0.1.0"), s.restore(s.present_before(c), "part", "0.1.0")
+    back = now.join(before.select("p_partkey"), "p_partkey", "left_anti").count()
+    if back != now.where("p_size > 25").count() or before.columns != now.columns:
+        raise AssertionError("what the rollback took back is not what had been deleted")
+    return now.select("p_partkey", "p_name", "p_size")
 
 
 def vc_reverse_migrate(spark: SparkSession, d: str) -> DataFrame:
@@ -124,10 +146,11 @@ def vc_checkpointer(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p[0], p[1].decode()) for p, _ in c.list("thread")], "type string, data string")
 
 
-QUERIES = {f.__name__: f for f in (snk_fs_store, src_body_cap, st_capture, st_drain_strict, st_seed, vc_status, vc_snapshot, vc_commit, vc_stage, vc_rollback, vc_reverse_migrate, vc_checkpointer)}
+QUERIES = {f.__name__: f for f in (snk_fs_store, src_body_cap, src_prompt_dir, st_capture, st_drain_strict, st_seed, vc_status, vc_snapshot, vc_commit, vc_stage, vc_rollback, vc_reverse_migrate, vc_checkpointer)}
 _OLD = "(SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_mktsegment <> 'BUILDING')"
 _NEW = "(SELECT c_custkey, CASE WHEN c_nationkey > 20 THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_nationkey <> 3)"
 SQL = {
+    "src_prompt_dir": f"SELECT name, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size FROM {files('prompts')} WHERE commit_hash = {TIP}",
     "snk_fs_store": f"SELECT DISTINCT hash, true AS intact, strlen(text) AS size FROM {files('tools')}",
     "src_body_cap": f"SELECT commit_hash, name, strlen(text) AS size FROM {files('tools')} WHERE strlen(text) <= 1048576",
     "st_capture": f"SELECT 'customer' AS table_name, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN n.c_custkey IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(n.c_custkey, o.c_custkey) AS pk FROM {_OLD} o FULL JOIN {_NEW} n ON o.c_custkey = n.c_custkey WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_name <> n.c_name",

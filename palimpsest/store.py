@@ -1,7 +1,7 @@
 """A version store on Parquet: segments, trees and commits behind refs that are swapped atomically.
 
-Everything is written under new paths first; the replacement of one ref file publishes it. The folder must be one that
-driver and executors share.
+Everything is written under new paths first; the replacement of one ref file publishes it. The folder is one that driver
+and executors share, on any file system that Hadoop knows.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ import os
 import re
 import subprocess
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 from hashlib import sha256
 from pathlib import Path
+from types import MappingProxyType
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from .errors import Busy, IntegrityFailure, InvalidBranchName, InvalidInput, Mis
 from .functions.scalars import ENTROPY_THRESHOLD, RUN, TOKEN_PATTERNS
 from .operators.folds import finite, refuse
 from .operators.trees import diff_entries
+from .shared import SharedPath
 
 _HASH = re.compile(r"[0-9a-fA-F]{64}")
 _BRANCH = re.compile(r"(?!HEAD$)(?!.*(?:^|/)(?:\.{0,2}|[^/]*\.tmp)(?:/|$))[^\\\x00-\x1f\x7f-\x9f]+")
@@ -49,19 +52,19 @@ def write_segment(rows: DataFrame, root: str, table: str, seal_seq: int) -> str:
 
 
 def parse_store_spec(spec: str, default: str) -> dict[str, str]:
-    """fs, fs:///absolute or gcs://bucket[/prefix]."""
+    """fs, fs:///absolute or gcs://bucket[/prefix]; uri is what Store takes (an object store needs its connector on the class path)."""
     spec = spec.strip()
     if spec in ("", "fs"):
-        return {"kind": "fs", "root": f"{default}/objects"}
+        return {"kind": "fs", "root": f"{default}/objects", "uri": f"{default}/objects"}
     if spec.startswith("fs://"):
         if not spec[5:].startswith("/"):
             raise InvalidInput(f"fs:// needs an absolute path: {spec!r}")
-        return {"kind": "fs", "root": spec[5:]}
+        return {"kind": "fs", "root": spec[5:], "uri": f"file://{spec[5:]}"}
     if spec.startswith("gcs://"):
         bucket, _, prefix = spec[6:].partition("/")
         if not bucket:
             raise InvalidInput(f"gcs:// needs a bucket: {spec!r}")
-        return {"kind": "gcs", "bucket": bucket, "prefix": prefix.strip("/")}
+        return {"kind": "gcs", "bucket": bucket, "prefix": prefix.strip("/"), "uri": f"gs://{bucket}/{prefix.strip('/')}".rstrip("/")}
     raise InvalidInput(f"unknown store {spec!r}")
 
 
@@ -89,20 +92,26 @@ def read_prompts(folder: str) -> dict[str, str]:
     return {str(p.relative_to(root)): p.read_text() for p in sorted(root.rglob("*")) if p.is_file() and not p.is_symlink()} if root.is_dir() else {}
 
 
-def write_prompts(folder: str, wanted: dict[str, str]) -> None:
-    """Write all wanted files, delete the rest; unsafe names and conflicts are refused before anything is written."""
+def check_prompts(folder: str, wanted: dict[str, str]) -> None:
+    """Refuse unsafe names, a name that is both file and directory, and paths through symbolic links."""
     root = Path(folder)
     lower = sorted([p.lower() for p in Path(n).parts] for n in wanted)
     for n in wanted:
         if not n or n.startswith("/") or ".." in Path(n).parts or n.startswith("./"):
             raise InvalidInput(f"unsafe name {n!r}")
-    if any(len(b) > len(a) and b[: len(a)] == a for a, b in zip(lower, lower[1:])):
-        raise InvalidInput("a name is both a file and a directory")
-    for n, text in wanted.items():
         target = root / n
         if any(p.is_symlink() for p in [target, *target.parents] if p != root and root in p.parents):
             raise InvalidInput(f"{n!r} passes a symbolic link")
-        replace_text(target, text)
+    if any(len(b) > len(a) and b[: len(a)] == a for a, b in zip(lower, lower[1:])):
+        raise InvalidInput("a name is both a file and a directory")
+
+
+def write_prompts(folder: str, wanted: dict[str, str]) -> None:
+    """Write all wanted files, delete the rest; what check_prompts() refuses is refused before anything is written."""
+    check_prompts(folder, wanted)
+    root = Path(folder)
+    for n, text in wanted.items():
+        replace_text(root / n, text)
     for n in read_prompts(folder).keys() - wanted.keys():
         (root / n).unlink()
 
@@ -175,6 +184,14 @@ class Commit:
         return sha256(json.dumps(dims, sort_keys=True).encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Refs:
+    """A frozen copy of the refs; consistent with what a writer does while it holds the lock."""
+
+    head: str | None
+    branches: Mapping[str, str]
+
+
 class Store:
     """Versioned tables and texts under one folder."""
 
@@ -182,12 +199,12 @@ class Store:
         for p in exempt:
             if not p or p != p.strip() or p.startswith("/") or not p.endswith("/"):
                 raise InvalidInput(f"exempt prefix {p!r}")
-        self.spark, self.root, self.keys, self.gate = spark, Path(root), keys or {}, gate or Gate(None)
+        self.spark, self.root, self.keys, self.gate = spark, SharedPath(spark, root), keys or {}, gate or Gate(None)
         self.exempt, self.allowed = exempt, allowed
 
     def init(self) -> None:
         for d in ("objects", "segments", "manifests", "refs/heads"):
-            (self.root / d).mkdir(parents=True, exist_ok=True)
+            (self.root / d).mkdir()
         dangling = [b for b, h in self.branches().items() if not self._object(h).exists()]
         if dangling:
             raise IntegrityFailure(f"branches without their commit: {dangling}")
@@ -196,24 +213,22 @@ class Store:
     def writing(self) -> Iterator[None]:
         """One writer at a time."""
         lock = self.root / "lock"
-        try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        except FileExistsError:
-            raise Busy("another writer is active") from None
+        if not lock.create():
+            raise Busy("another writer is active")
         try:
             yield
         finally:
-            lock.unlink(missing_ok=True)
+            lock.remove()
 
-    # objects and refs: small, kept by the driver
+    # objects and refs: small files, written by the driver to the shared folder
 
-    def _object(self, h: str) -> Path:
-        return self.root / "objects" / h[:2] / h[2:]
+    def _object(self, h: str) -> SharedPath:
+        return self.root / f"objects/{h[:2]}/{h[2:]}"
 
     def put(self, text: str) -> str:
         h = sha256(text.encode()).hexdigest()
         if not self._object(h).exists():
-            replace_text(self._object(h), text)
+            self._object(h).write_text(text)
         return h
 
     def get(self, h: str) -> str:
@@ -226,29 +241,31 @@ class Store:
         return text
 
     def cat(self, h: str) -> str:
-        if self._object(h).exists() and self._object(h).stat().st_size > MOST_BYTES:
+        if self._object(h).exists() and self._object(h).size() > MOST_BYTES:
             raise InvalidInput("object too large")
         return self.get(h)
 
+    def refs(self) -> Refs:
+        """HEAD and all branches, read once."""
+        path = self.root / "HEAD"
+        return Refs(path.read_text() if path.exists() else None, MappingProxyType({name: p.read_text() for name, p in (self.root / "refs/heads").files()}))
+
     def branches(self) -> dict[str, str]:
-        heads = self.root / "refs/heads"
-        return {str(p.relative_to(heads)): p.read_text() for p in sorted(heads.rglob("*")) if p.is_file() and not p.name.endswith(".tmp")}
+        return dict(self.refs().branches)
 
     def head(self) -> str | None:
-        path = self.root / "HEAD"
-        return path.read_text() if path.exists() else None
+        return self.refs().head
 
-    def resolve(self, name: str) -> str:
+    def resolve(self, name: str, refs: Refs | None = None) -> str:
         """HEAD, a 64-digit hash (not looked up) or a branch."""
+        refs = refs or self.refs()
         if name == "HEAD":
-            branch = self.head()
-            name = branch if branch is not None else ""
+            name = refs.head if refs.head is not None else ""
         if _HASH.fullmatch(name):
             return name.lower()
-        found = self.branches().get(name)
-        if found is None:
+        if name not in refs.branches:
             raise NotFound(name)
-        return found
+        return refs.branches[name]
 
     def read_commit(self, h: str) -> Commit:
         return Commit(**json.loads(self.get(h)))
@@ -265,7 +282,7 @@ class Store:
             pk = self.keys[name]
             rows = refuse(finite(df, name), F.col(pk).isNull(), F.lit(f"null primary key in {name}.{pk}"))
             n = self.spark.sparkContext.defaultParallelism
-            path = write_segment(rows.repartitionByRange(n, pk).sortWithinPartitions(pk).withColumn("_op", F.lit("insert")).withColumn("_at", F.monotonically_increasing_id()), str(self.root / "segments"), name, seq)
+            path = write_segment(rows.repartitionByRange(n, pk).sortWithinPartitions(pk).withColumn("_op", F.lit("insert")).withColumn("_at", F.monotonically_increasing_id()), f"{self.root}/segments", name, seq)
             r = self.spark.read.parquet(path).agg(F.min(pk).cast("string"), F.max(pk).cast("string"), F.count("*")).first()
             refs.append({"table": name, "path": path, "seal_seq": seq, "pk_lo": r[0], "pk_hi": r[1], "event_count": r[2], "schema_version": schema_version})
         return self.put(json.dumps(refs, sort_keys=True))
@@ -278,7 +295,7 @@ class Store:
         for name, df in sorted(changes.items()):
             pk = self.keys[name]
             bad = ~F.coalesce(F.col("_op").isin("insert", "update", "delete", "truncate"), F.lit(False)) | (F.col(pk).isNull() & (F.col("_op") != "truncate"))
-            path = write_segment(refuse(df, bad, F.lit(f"bad change of {name}")), str(self.root / "segments"), name, seq)
+            path = write_segment(refuse(df, bad, F.lit(f"bad change of {name}")), f"{self.root}/segments", name, seq)
             r = self.spark.read.parquet(path).agg(F.min(pk).cast("string"), F.max(pk).cast("string"), F.count("*")).first()
             refs.append({"table": name, "path": path, "seal_seq": seq, "pk_lo": r[0], "pk_hi": r[1], "event_count": r[2], "schema_version": version})
             seq += 1
@@ -295,7 +312,7 @@ class Store:
         if not refs:
             raise NotFound(table)
         pk = self.keys[table]
-        scan = self.spark.read.option("mergeSchema", True).option("basePath", str(self.root / "segments")).parquet(*[r["path"] for r in refs])
+        scan = self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/segments").parquet(*[r["path"] for r in refs])
         out = scan.withColumn("_seal", F.split_part("seal_seq", F.lit("-"), F.lit(1)).cast("long")).drop("table", "seal_seq")
         cut = out.where("_op = 'truncate'").agg(F.max(F.struct("_seal", "_at")).alias("t"))
         rest = [c for c in out.columns if c != pk]
@@ -333,14 +350,14 @@ class Store:
                 raise SecretDetected(f"{name}: {kinds}")
         with self.writing():
             trees = [{n: self.put(t) for n, t in sorted((x or {}).items())} for x in (prompts, tools)]
-            c = Commit(self.branches().get(branch), author, message, now.isoformat(), code_sha, trees[0], trees[1], model, memory_snapshot, schema_version, peer_uid)
+            c = Commit(self.refs().branches.get(branch), author, message, now.isoformat(), code_sha, trees[0], trees[1], model, memory_snapshot, schema_version, peer_uid)
             return self._publish(branch, c)
 
     def _publish(self, branch: str, c: Commit) -> str:
         h = self.put(json.dumps(asdict(c), sort_keys=True))
-        replace_text(self.root / "refs/heads" / branch, h)
-        if self.head() is None:
-            replace_text(self.root / "HEAD", branch)
+        (self.root / f"refs/heads/{branch}").write_text(h)
+        if not (self.root / "HEAD").exists():
+            (self.root / "HEAD").write_text(branch)
         return h
 
     def log(self, start: str = "HEAD", limit: int = 20) -> list[tuple[str, Commit]]:
@@ -354,7 +371,8 @@ class Store:
 
     def diff(self, old: str, new: str) -> dict[str, list[str] | tuple]:
         """Changes of the six dimensions, trees as lines."""
-        a, b = self.read_commit(self.resolve(old)), self.read_commit(self.resolve(new))
+        refs = self.refs()
+        a, b = self.read_commit(self.resolve(old, refs)), self.read_commit(self.resolve(new, refs))
         out: dict[str, list[str] | tuple] = {}
         for t in ("prompts", "tools"):
             x, y = getattr(a, t), getattr(b, t)
@@ -367,47 +385,123 @@ class Store:
         return out
 
     def status(self) -> dict[str, object]:
-        head = self.head()
-        return {"head": head, "branches": self.branches(), "writing": (self.root / "lock").exists()}
+        refs = self.refs()
+        return {"head": refs.head, "branches": dict(refs.branches), "writing": (self.root / "lock").exists()}
 
     # rollback
 
-    def rollback(self, target: str, now: datetime, migrations: list[str] | None = None, down: dict[str, Callable[[str, DataFrame], DataFrame]] | None = None, irreversible: frozenset[str] = frozenset(), accept_data_loss: bool = False, token: str | None = None, uid: int | None = None, dry_run: bool = False, folder: str | None = None) -> str:
+    def rollback(self, target: str, now: datetime, migrations: list[str] | None = None, down: dict[str, Callable[[str, DataFrame], DataFrame]] | None = None, irreversible: frozenset[str] = frozenset(), accept_data_loss: bool = False, token: str | None = None, uid: int | None = None, dry_run: bool = False, folder: str | None = None, capture: Quiesceable | None = None, keep_present: bool = False) -> str:
         """Return to a commit's state and record that as a new commit on the current branch.
 
         migrations: names applied, oldest first; those after the target's version are undone, newest first, by `down` (table
-        name and rows to rows). Undoing migrations or accepting data loss needs an approval token. Everything is staged
-        under new paths; the one ref swap publishes tables and texts together.
+        name and rows to rows). Undoing migrations or accepting data loss needs an approval token. Everything is checked
+        before anything is written. The target's tables come from its own snapshot, in its own layout, so undoing moves no
+        rows; where the target has no snapshot, the present tables in its layout become the new commit's. With
+        `keep_present` the present tables in the target's layout are kept as well, as the manifest that present_before()
+        names, so that what the rollback took back can be compared. `capture` is paused meanwhile. The one ref swap
+        publishes tables and texts together.
         """
-        h, branch = self.resolve(target), self.head()
-        goal, tip = self.read_commit(h), self.resolve("HEAD")
-        current = self.read_commit(tip)
+        refs = self.refs()
+        h, branch, tip = self.resolve(target, refs), refs.head, self.resolve("HEAD", refs)
+        goal, current = self.read_commit(h), self.read_commit(tip)
         names = migrations or []
         if goal.memory_snapshot and goal.schema_version is None:
             raise InvalidInput("target has a snapshot without schema version")
         if goal.schema_version not in (None, "0.0.0", *names):
             raise NotFound(f"schema version {goal.schema_version}")
         start = 0 if goal.schema_version in (None, "0.0.0") else names.index(goal.schema_version) + 1
-        undo = list(reversed(names[start:])) if goal.memory_snapshot else []
+        undo = list(reversed(names[start:])) if goal.memory_snapshot or goal.schema_version else []
         for n in undo:
             if n not in (down or {}):
                 raise MissingReverseMigration(n)
             if n in irreversible and not accept_data_loss:
                 raise MissingReverseMigration(f"{n} is irreversible")
+        wanted = {n: self.get(x) for n, x in goal.prompts.items()}
+        if folder is not None:
+            check_prompts(folder, wanted)
         if undo or accept_data_loss:
             self.gate.check(h, uid, token, accept_data_loss, int(now.timestamp()), dry_run)
-        wanted = {n: self.get(x) for n, x in goal.prompts.items()}
         if dry_run:
             return h
-        with self.writing():
-            if undo and current.memory_snapshot:
-                # the present tables in the target's layout stay beside the target as a staged manifest
-                self.reverse_migrate(current.memory_snapshot, [(n, down[n]) for n in undo], goal.schema_version or "0.0.0")
+        with self.writing(), capture.paused() if capture is not None else nullcontext():
+            present = None
+            if current.memory_snapshot and (keep_present or (undo and not goal.memory_snapshot)):
+                present = self.reverse_migrate(current.memory_snapshot, [(n, down[n]) for n in undo], goal.schema_version or "0.0.0")
             if folder is not None:
                 write_prompts(folder, wanted)
-            c = replace(goal, parent=tip, author="rollback", message=f"rollback to {h}", committed_at=now.isoformat(), peer_uid=uid)
+            c = replace(goal, parent=tip, author="rollback", message=f"rollback to {h}", committed_at=now.isoformat(), peer_uid=uid, memory_snapshot=goal.memory_snapshot or (present if undo else None))
+            if keep_present and present:
+                (self.root / f"refs/present/{c.hash}").write_text(present)
             return self._publish(branch, c)
 
+    def present_before(self, rollback: str) -> str:
+        """The manifest of the tables as they were before a rollback, in the target's layout (see keep_present)."""
+        path = self.root / f"refs/present/{rollback}"
+        if not path.exists():
+            raise NotFound(rollback)
+        return path.read_text()
+
+
+class Quiesceable(Protocol):
+    """A capture that can be paused: no change that is written meanwhile is captured."""
+
+    def paused(self) -> AbstractContextManager[None]: ...
+
+
+def assemble(branch: str, message: str, given: dict[str, object], parent: str | None, snapshot: tuple[str, str] | None, tools: dict[str, str], uid: int | None) -> dict[str, object]:
+    """Arguments of Store.commit() from what a caller gave, what was captured and who asked; the author is `unknown` unless given."""
+    known = {k: given[k] for k in ("author", "prompts", "model", "code_sha") if given.get(k) is not None}
+    return {"branch": branch, "message": message, "author": "unknown", "tools": tools, "peer_uid": uid, "memory_snapshot": snapshot and snapshot[0], "schema_version": snapshot and snapshot[1]} | known
+
+
+class MemoryBackend:
+    """Small tables of JSON rows in the driver, with the operations of a versioned backend; for tests and tools without tables."""
+
+    def __init__(self, store: Store, schema_version: str = "0.0.0") -> None:
+        self.store, self.version = store, schema_version
+        self.tables: dict[str, list[dict]] = {}
+        self.migrations: list[str] = []
+
+    def insert_rows(self, table: str, rows: list[dict]) -> None:
+        self.tables.setdefault(table, []).extend(dict(r) for r in rows)
+
+    def rows_of(self, table: str) -> list[dict]:
+        return [dict(r) for r in self.tables.get(table, [])]
+
+    def apply_migration(self, name: str) -> None:
+        self.migrations.append(name)
+        self.version = name
+
+    def migrations_after(self, name: str) -> list[str]:
+        """Names applied after `name`, newest first; 0.0.0 stands before all."""
+        if name == "0.0.0":
+            return self.migrations[::-1]
+        if name not in self.migrations:
+            raise NotFound(f"migration {name}")
+        return self.migrations[self.migrations.index(name) + 1 :][::-1]
+
+    def snapshot(self) -> tuple[str, str]:
+        """(manifest, schema version) of all tables as they are."""
+        return self.store.put(json.dumps({"tables": self.tables, "schema_version": self.version}, sort_keys=True)), self.version
+
+    def restore(self, snapshot: tuple[str, str]) -> None:
+        """Replace all tables, those that the snapshot lacks included; another schema version is refused."""
+        held = json.loads(self.store.get(snapshot[0]))
+        if held["schema_version"] != self.version:
+            raise SchemaMismatch(f"{held['schema_version']} is not {self.version}")
+        self.tables = held["tables"]
+
+    def apply_reverse_migrations(self, steps: list[tuple[str, Callable[[str, list[dict]], list[dict]]]]) -> None:
+        """Undo migrations, newest first, all or none."""
+        tables, left = {t: self.rows_of(t) for t in self.tables}, list(self.migrations)
+        for name, step in steps:
+            if not left or left[-1] != name:
+                raise MissingReverseMigration(f"{name} is not the newest migration")
+            left.pop()
+            tables = {t: step(t, rows) for t, rows in tables.items()}
+        self.tables, self.migrations = tables, left
+        self.version = left[-1] if left else "0.0.0"
+
 
 class Checkpointer:
     """Checkpoints of threads on branches of the store; a thread's branch head is its newest checkpoint."""

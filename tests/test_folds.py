@@ -30,6 +30,32 @@ def test_running_total_and_packing(spark):
     assert max(r.s for r in packed) <= 112 and sorted(r.segment_no for r in packed) == sorted(r.segment_no for r in sorted(packed, key=lambda r: r.lo))
 
 
+def test_greedy_packing_as_a_writer_does_it(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(i * 3, r.choice([0, 1, 5, 9, 30])) for i in range(r.choice([1, 2, 150]))]
+        want, n, size = {}, 0, 0
+        for i, s in rows:
+            want[i], size = n, size + s
+            if size >= 20:
+                n, size = n + 1, 0
+        found = folds.pack_greedily(spark.createDataFrame(rows, "i int, n long"), "i", "n", 20)
+        assert {x.i: x.segment_no for x in found.collect()} == want
+    assert folds.pack_greedily(spark.createDataFrame([], "i int, n long"), "i", "n", 20).count() == 0
+
+
+def test_replay_batches(spark, monkeypatch):
+    monkeypatch.setattr(folds, "MOST_ROWS", 4)
+    monkeypatch.setattr(folds, "MOST_PARAMETERS", 9)
+    rows = [("s", i, shape, key, width) for i, (shape, key, width) in enumerate([("u", "1", 1), ("u", "2", 1), ("u", "1", 1), ("d", "1", 1), ("u", "3", 4), ("u", "4", 4), ("u", "5", 4), *[("u", str(k), 1) for k in range(10, 16)]])] + [("t", 0, "u", None, 1), ("t", 1, "u", None, 99)]
+    df = spark.createDataFrame(rows, "seg string, at int, shape string, k string, w int")
+    out = folds.replay_batches(df, "seg", "at", F.col("shape"), F.col("k"), F.col("w"))
+    assert got(out.where("seg = 's'").select("batch", "first", "n")) == {(1, 0, 2), (2, 2, 1), (3, 3, 1), (4, 4, 2), (5, 6, 4), (6, 10, 3)}
+    assert got(out.where("seg = 't'").select("batch", "first", "n")) == {(1, 0, 1), (2, 1, 1)}
+
+
 def test_checks_refuse_and_name(spark):
     bad = spark.createDataFrame([(1, float("nan")), (None, 1.0)], "id long, score double")
     with pytest.raises(Exception, match="non-finite value in t.score"):

@@ -1,3 +1,4 @@
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest import approval
 from palimpsest.errors import ApprovalRefused, Busy, IntegrityFailure, InvalidBranchName, InvalidInput, MissingReverseMigration, NotFound, SchemaMismatch, SecretDetected, StoreError
 from palimpsest.functions import documents
-from palimpsest.store import Checkpointer, PeerPolicy, Store, load_steps, git_head, parse_backend, parse_store_spec, read_prompts, write_prompts
+from palimpsest.store import Checkpointer, MemoryBackend, PeerPolicy, Store, assemble, load_steps, git_head, parse_backend, parse_store_spec, read_prompts, write_prompts
 
 NOW = datetime(2026, 5, 1, tzinfo=timezone.utc)
 
@@ -108,6 +109,134 @@ def test_rollback_is_recorded_forward(spark, store, tmp_path):
     assert read_prompts(folder) == {"s.txt": "good"} and got(store.restore(new.memory_snapshot, "episodes")) == {(1, "a")}
 
 
+def test_rollback_keeps_the_present_and_checks_first(spark, store, tmp_path):
+    m1 = store.snapshot({"episodes": episodes(spark, (1, "a"))}, "0.1.0")
+    a = store.commit("main", "good", NOW, prompts={"s.txt": "good"}, memory_snapshot=m1, schema_version="0.1.0")
+    m2 = store.snapshot({"episodes": episodes(spark, (1, "a"), (99, "bad")).withColumn("n", F.lit(1))}, "0.2.0")
+    store.commit("main", "bad", NOW, memory_snapshot=m2, schema_version="0.2.0")
+    args = {"now": NOW, "migrations": ["0.1.0", "0.2.0"], "down": {"0.2.0": lambda t, df: df.drop("n")}, "uid": 7, "token": approval.issue(b"key", "reverse_migration", a, 7, int(NOW.timestamp()))}
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/s.txt").symlink_to(tmp_path / "elsewhere")
+    with pytest.raises(InvalidInput, match="symbolic link"):
+        store.rollback(a, folder=str(tmp_path / "p"), **args)
+    paused = []
+
+    class Feed:
+        @contextmanager
+        def paused(self):
+            paused.append(store.status()["writing"])
+            yield
+
+    c = store.rollback(a, capture=Feed(), keep_present=True, **args)
+    assert paused == [True] and got(store.restore(store.present_before(c), "episodes", "0.1.0")) == {(1, "a"), (99, "bad")}
+    with pytest.raises(NotFound):
+        store.present_before(a)
+    bare = store.commit("old", "no tables", NOW, schema_version="0.1.0")
+    store.commit("main", "again", NOW, memory_snapshot=m2, schema_version="0.2.0")
+    token = approval.issue(b"key", "reverse_migration", bare, 7, int(NOW.timestamp()))
+    new = store.read_commit(store.rollback(bare, **(args | {"token": token})))
+    assert got(store.restore(new.memory_snapshot, "episodes", "0.1.0")) == {(1, "a"), (99, "bad")} and new.schema_version == "0.1.0"
+
+
+def test_refs_are_frozen(store):
+    a = store.commit("x/y", "one", NOW)
+    refs = store.refs()
+    b = store.commit("x/y", "two", NOW)
+    assert store.resolve("HEAD", refs) == a and store.resolve("x/y") == b and refs.head == "x/y"
+    with pytest.raises(TypeError):
+        refs.branches["z"] = a
+
+
+def test_memory_backend(store):
+    m = MemoryBackend(store)
+    m.insert_rows("messages", [{"id": 1, "body": "clean"}])
+    m.apply_migration("001")
+    snap = m.snapshot()
+    m.insert_rows("messages", [{"id": 99, "body": "bad"}])
+    m.insert_rows("other", [{"id": 1}])
+    m.apply_migration("002")
+    assert m.migrations_after("0.0.0") == ["002", "001"] and m.migrations_after("001") == ["002"]
+    with pytest.raises(NotFound):
+        m.migrations_after("9")
+    with pytest.raises(SchemaMismatch):
+        m.restore(snap)
+    with pytest.raises(MissingReverseMigration):
+        m.apply_reverse_migrations([("002", lambda t, r: []), ("000", lambda t, r: r)])
+    assert m.version == "002" and len(m.rows_of("messages")) == 2
+    m.apply_reverse_migrations([("002", lambda t, r: r)])
+    m.restore(snap)
+    assert m.rows_of("messages") == [{"id": 1, "body": "clean"}] and m.rows_of("other") == []
+
+
+def test_error_classes():
+    from palimpsest import errors
+
+    assert errors.classify(Busy("x")) == ("concurrency", "writer_active", True) and errors.classify(errors.ObjectNotFound("x"))[1] == "object_not_found"
+    try:
+        try:
+            raise SchemaMismatch("t")
+        except SchemaMismatch as e:
+            raise RuntimeError("outer") from e
+    except RuntimeError as e:
+        assert errors.classify(e) == ("memory", "schema_mismatch", False)
+    for error, code in ((OSError("No space left on device"), "io_failure"), (ValueError("x"), "serialization_failure"), (KeyError("x"), "unclassified"), (RuntimeError("[PATH_NOT_FOUND] x"), "object_not_found"), (TimeoutError(), "io_failure")):
+        assert errors.classify(error)[1] == code
+
+
+def test_assembled_commits(store):
+    args = assemble("main", "m", {"prompts": {"a": "b"}, "author": None, "intent": "x"}, None, None, {}, 7)
+    c = store.read_commit(store.commit(now=NOW, **args))
+    assert (c.author, c.peer_uid, c.memory_snapshot, set(c.prompts)) == ("unknown", 7, None, {"a"})
+
+
+def test_tool_manifests():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from palimpsest.sources import manifests
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            deep = "[" * 40 + "]" * 40
+            body = {"/ok": '{"result":{"tools":[{"b":1.50,"a":[2]}]}}', "/none": "{}", "/deep": f'{{"result":{deep}}}', "/big": '{"result":"' + "x" * 2**20 + '"}', "/bad": "nonsense"}.get(self.path)
+            self.send_response(302 if body is None else 200)
+            self.send_header("Location", "/ok")
+            self.send_header("Content-Length", str(len(body or "")))
+            self.end_headers()
+            self.wfile.write((body or "").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        names = ["ok", "none", "deep", "big", "bad", "moved", "ok"]
+        found = manifests.fingerprint_all(manifests.parse_spec([f"s{k}={base}/{n}" for k, n in enumerate(names)]))
+        assert [m.name for m in found] == [f"s{k}" for k in range(7)]
+        assert found[0].text == '{"tools":[{"a":[2],"b":1.50}]}' or json.loads(found[0].text) == {"tools": [{"a": [2], "b": 1.5}]}
+        assert found[0].hash == found[6].hash and all(m.failure and m.text is None for m in found[1:6])
+    finally:
+        server.shutdown()
+    for bad in ("x", "=http://localhost", "a=http://example.org/x", "a=ftp://localhost"):
+        with pytest.raises(InvalidInput):
+            manifests.parse_spec([bad])
+    with pytest.raises(InvalidInput):
+        manifests.parse_spec(["a=https://x", "a=https://y"])
+
+
+def test_prompt_files_of_a_shared_folder(spark, tmp_path):
+    from palimpsest.sources import prompt_files
+
+    for name, text in (("a.txt", "one"), ("sub dir/b+c.md", "zwei ü"), ("sub dir/x/empty", "")):
+        (tmp_path / "p" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name).write_text(text)
+    assert got(prompt_files(spark, str(tmp_path / "p"))) == {("a.txt", "one", 3), ("sub dir/b+c.md", "zwei ü", 7), ("sub dir/x/empty", "", 0)}
+
+
 def test_approval_tokens():
     t = approval.issue(b"k", "reverse_migration", "AB" * 32, 5, 1000)
     assert approval.verify(b"k", ("reverse_migration",), "ab" * 32, 5, t, 1300)[0] == "reverse_migration"
@@ -149,8 +278,8 @@ def test_prompt_folder(tmp_path):
 
 
 def test_specs(tmp_path):
-    assert parse_store_spec("fs", "/d") == {"kind": "fs", "root": "/d/objects"} and parse_store_spec("fs:///x", "/d")["root"] == "/x"
-    assert parse_store_spec("gcs://b/p/", "/d") == {"kind": "gcs", "bucket": "b", "prefix": "p"}
+    assert parse_store_spec("fs", "/d") == {"kind": "fs", "root": "/d/objects", "uri": "/d/objects"} and parse_store_spec("fs:///x", "/d")["root"] == "/x"
+    assert parse_store_spec("gcs://b/p/", "/d") == {"kind": "gcs", "bucket": "b", "prefix": "p", "uri": "gs://b/p"}
     for bad in ("fs://rel", "gcs:///p", "s3://x"):
         with pytest.raises(InvalidInput):
             parse_store_spec(bad, "/d")

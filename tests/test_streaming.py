@@ -1,6 +1,7 @@
 import pytest
 from conftest import got
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from palimpsest.functions.names import Tracked
 from palimpsest.streaming import capture
@@ -35,8 +36,8 @@ def test_strict_drain_writes_nothing_of_a_bad_batch(spark, tmp_path):
 
 def test_heads_seal_by_size(spark, tmp_path):
     src = str(tmp_path / "in")
-    schema = "table_name string, pk string, text string"
-    spark.createDataFrame([("messages", f"{i:02}", "x" * 64) for i in range(8)], schema).coalesce(1).write.parquet(src)
+    schema = "table_name string, pk string, text string, id long"
+    spark.createDataFrame([("messages", f"{i:02}", "x" * 64, i) for i in range(8)], schema).coalesce(1).write.parquet(src)
     feed = spark.readStream.schema(schema).parquet(src)
     q = capture.seal_heads(feed, 256, shards=1).writeStream.format("memory").queryName("sealed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -49,5 +50,50 @@ def test_sink_lists_baseline_and_batches(spark, tmp_path):
     batch = spark.createDataFrame([("a", "5"), ("a", "3"), ("b", "1")], "table_name string, pk string")
     sink(batch, 0)
     sink(batch, 0)
-    refs = sink.manifest(spark)
+    refs = sink.manifest(spark).orderBy("table_name", "seal_seq").collect()
     assert [(r["table_name"], r["seal_seq"], str(r["pk_lo"]), str(r["pk_hi"]), r["event_count"]) for r in refs] == [("a", 4, "0", "9", 10), ("a", 5, "3", "5", 2), ("b", 5, "1", "1", 1)]
+
+
+def test_bounds_are_by_value_and_heads_go_on(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = "table_name string, pk string, text string, id long"
+    (tmp_path / "in").mkdir()
+    feed = spark.readStream.schema(schema).parquet(src)
+    run = lambda: capture.seal_heads(feed, 100, shards=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    for first in (0, 7):
+        spark.createDataFrame([("t", k, "x" * 30, first + i) for i, k in enumerate(("9", "10", "x", "-3", "1e2", "a", "2"))], schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    rows = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("seal_seq", "pk_lo", "pk_hi", "event_count", "n_bytes").collect())
+    assert rows == [(0, "-3", "x", 4, 120), (1, "2", "a", 4, 120), (2, "-3", "x", 4, 120)]
+
+
+def test_writes_during_a_pause_are_not_captured(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    put(spark, str(src), (1, "messages", "insert", '{"id":1}'))
+
+    def start(offsets):
+        """Files that are there when a new generation begins are not read by it."""
+        old = {f.name for f in src.glob("*.parquet")} if not offsets.endswith("/0") else set()
+        feed = capture.read_feed(spark, str(src)).where(~F.element_at(F.split("_metadata.file_path", "/"), -1).isin(list(old)) if old else F.lit(True))
+        return feed.select("id").writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).start()
+
+    c = capture.Capture(start, str(tmp_path / "ck"))
+    c.query.processAllAvailable()
+    with c.paused():
+        put(spark, str(src), (2, "messages", "insert", '{"id":2}'))
+        assert not c.query.isActive
+    put(spark, str(src), (3, "messages", "insert", '{"id":3}'))
+    c.query.processAllAvailable()
+    c.query.stop()
+    assert {r.id for r in spark.read.parquet(out).collect()} == {1, 3}
+
+
+def test_failures_escalate():
+    told = []
+    e = capture.Escalation(lambda level, text: told.append(level), limit=3)
+    for _ in range(7):
+        e.failure("x")
+    assert told == ["warning", "error", "error"]
+    e.onQueryProgress(None)
+    e.failure("y")
+    assert told[-1] == "warning" and e.failed == 1
