@@ -26,16 +26,24 @@ def plain_key(c: Column) -> Column:
     return F.when(t == "", F.lit(None)).when(integer, t).when(t.rlike(NUMBER) & n.isNotNull(), text).otherwise(c)
 
 
+def is_object(v: Column, path: str = "$") -> Column:
+    """Whether a Variant is an object (false for null). Cheaper than its schema, which would be worked out at every depth."""
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+
+
+def is_array(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
+
+
 def body(v: Column) -> Column:
     """The row inside its envelope {"op":…,"row":{…}}, or the object itself."""
-    inner = F.try_variant_get(v, "$.row", "variant")
-    return F.when(F.schema_of_variant(inner).startswith("OBJECT") & F.try_variant_get(v, "$.op", "string").isNotNull(), inner).otherwise(v)
+    return F.when(is_object(v, "$.row") & F.try_variant_get(v, "$.op", "string").isNotNull(), F.try_variant_get(v, "$.row", "variant")).otherwise(v)
 
 
 def field(v: Column, name: str) -> Column:
     """A scalar field of a Variant object as text; objects and arrays are no keys."""
     path = "$['" + name.replace("'", "\\'") + "']"
-    return F.when(~F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(v, path, "string"))
+    return F.when(~is_object(v, path) & ~is_array(v, path), F.try_variant_get(v, path, "string"))
 
 
 def with_key(df: DataFrame, tracked: list[Tracked], v: str = "v", table: str = "table_name", pk: str = "pk") -> DataFrame:

@@ -80,8 +80,8 @@ def pack_greedily(df: DataFrame, order: str, size: str, target: int) -> DataFram
     # rows by running size, then by order: among equal sizes the first row is sought
     ranged = cut(ends.repartitionByRange(n, "v").withColumn("_range", F.spark_partition_id()))
     first = F.when(F.col("kind") == 1, F.struct("v", "id"))
-    later = W.partitionBy("_range").orderBy("v", "kind", "id").rowsBetween(W.currentRow, W.unboundedFollowing)
-    local = ranged.withColumn("sealing", F.first(first, True).over(later))
+    later = W.partitionBy("_range").orderBy(F.desc("v"), F.desc("kind"), F.desc("id")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = ranged.withColumn("sealing", F.last(first, True).over(later))
     begins = ranged.groupBy("_range").agg(F.min(first).alias("b"))
     after = begins.select("_range", F.first("b", True).over(W.orderBy("_range").rowsBetween(1, W.unboundedFollowing)).alias("after"))  # one row per range
     sealed = local.where("kind = 0").join(F.broadcast(after), "_range").select("id", F.coalesce("sealing", "after").alias("s")).where("s is not null").select("id", F.col("s.id").alias("sealing"))

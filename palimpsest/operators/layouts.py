@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.keys import with_body, with_key
+from ..functions.keys import is_array, is_object, with_body, with_key
 from ..functions.names import Tracked, resolve
 from ..functions.once import once
 from ..session import cut
@@ -20,7 +20,8 @@ LEAST_AGREEMENT, LEAST_LIFT = 0.5, 0.25
 LEAST_DEVIATIONS = 3
 #: Most typed columns of a consistent table; fields beyond the most frequent ones are held as JSON.
 MOST_FIELDS = 1_000
-KINDS = ("number", "text", "boolean", "array", "object")
+#: Kinds of the type-promotion lattice, see joined().
+LATTICE = ("boolean", "number", "text", "array", "object")
 
 
 def version_of(c: Column) -> Column:
@@ -30,10 +31,10 @@ def version_of(c: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """number, text, boolean, array or object; null for null."""
-    s = F.schema_of_variant(v)
+    s = F.schema_of_variant(v)  # of scalars only
     return (
-        F.when(s.startswith("STRING"), "text").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "BOOLEAN", "boolean")
-        .when(s != "VOID", "number")
+        F.when(v.isNull() | F.is_variant_null(v), F.lit(None)).when(is_object(v), "object").when(is_array(v), "array")
+        .when(s.startswith("STRING"), "text").when(s == "BOOLEAN", "boolean").otherwise("number")
     )
 
 
@@ -47,7 +48,7 @@ def versioned_rows(events: DataFrame, segments: DataFrame, tracked: list[Tracked
     b = segments.select(resolve(F.col("table_name"), tracked).alias("table_name"), version_of(F.col("schema_version")).alias("version"), F.lit(None).cast("string").alias("op"), F.unix_micros(F.col("sealed_at").cast("timestamp")).cast("double").alias("seq"), F.explode("rows").alias("text"))
     both = a.unionByName(b).where("table_name is not null and version is not null")
     op = F.coalesce(F.when(F.col("op").isNull(), clean(F.try_variant_get("v0", "$.op", "string"))), F.col("op"), F.lit("insert"))
-    rows = once(with_body(both), keep=op.isin("insert", "update") & F.schema_of_variant("v").startswith("OBJECT")).where("keep")
+    rows = once(with_body(both), keep=op.isin("insert", "update") & is_object(F.col("v"))).where("keep")
     return rows.select("table_name", "version", "seq", "v")
 
 
@@ -70,19 +71,18 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def layouts(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(table_name, version, field, share, kind, n): the fields of each version.
+    """(table_name, version, field, share, kind, holds, n): the fields of each version.
 
     The layouts of the files' rows are read in parallel and folded map-side into counts per kind. A field belongs to a
     version when at least a tenth of the version's rows carry it, null or not; its kind is that of most non-null values
-    (ties: the wider one in the lattice). So at most ten times a row's width remain per version: a bounded result.
+    (ties: the wider one in the lattice), `holds` the least that holds all of them. So at most ten times a row's width remain per version: a bounded result.
     counts: counted(rows), where it is there already.
     """
     counts = counted(rows) if counts is None else counts
     total = counts.groupBy("table_name", "version").agg(F.sum("rows").alias("rows"))
-    rank = {k: i for i, k in enumerate(("boolean", "number", "text", "array", "object"))}
-    wide = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for k, i in rank.items()])
-    each = counts.groupBy("table_name", "version", "field").agg(F.sum("n").alias("n"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", wide.alias("w"), "kind"))).alias("m"))
-    return each.where("field is not null").join(total, ["table_name", "version"]).where(F.col("n") >= LEAST_SHARE * F.col("rows")).select("table_name", "version", "field", (F.col("n") / F.col("rows")).alias("share"), F.col("m.kind").alias("kind"), "n")
+    wide = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(LATTICE)])
+    each = counts.groupBy("table_name", "version", "field").agg(F.sum("n").alias("n"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", wide.alias("w"), "kind"))).alias("m"), joined(F.col("kind")).alias("holds"))
+    return each.where("field is not null").join(total, ["table_name", "version"]).where(F.col("n") >= LEAST_SHARE * F.col("rows")).select("table_name", "version", "field", (F.col("n") / F.col("rows")).alias("share"), F.col("m.kind").alias("kind"), "holds", "n")
 
 
 def versions_in_order(migrations: DataFrame) -> DataFrame:
@@ -156,10 +156,14 @@ def layout_changes(rows: DataFrame, migrations: DataFrame, tracked: list[Tracked
     return out(fresh, "added").unionByName(out(left, "removed")).unionByName(out(retyped, "retyped")).unionByName(out(renamed, "renamed", F.col("new_field")))
 
 
-def join_kinds(kinds: Column) -> Column:
-    """Least kind that holds all of a sorted distinct array: boolean < number < text; array and object meet others in text (as JSON)."""
-    has = lambda k: F.array_contains(kinds, k)
-    return F.when(F.size(kinds) == 1, kinds[0]).when(~has("text") & ~has("array") & ~has("object"), "number").otherwise("text")
+def joined(kinds: Column) -> Column:
+    """Aggregate: the least kind that holds all kinds of a group. The lattice: boolean < number < text; array and object meet anything else in text (as JSON).
+
+    Kinds fold as bits, so tasks combine what they have seen of a field and the fold is associative and in any order.
+    """
+    bits = F.bit_or(F.coalesce(*[F.when(kinds == k, F.lit(1 << i)) for i, k in enumerate(LATTICE)]))
+    single = F.coalesce(*[F.when(bits == 1 << i, F.lit(k)) for i, k in enumerate(LATTICE)])
+    return F.coalesce(single, F.when(bits == 3, "number"), F.lit("text"))
 
 
 def union_schema(have: DataFrame, changes: DataFrame, table: str) -> list[tuple[str, str, list[str]]]:
@@ -168,7 +172,7 @@ def union_schema(have: DataFrame, changes: DataFrame, table: str) -> list[tuple[
     have: counted(), so that fields and kinds of any share count. Bounded by MOST_FIELDS; of columns that differ in letter
     case alone, the most frequent is taken. What is left out goes to unified()'s rest.
     """
-    seen = have.where((F.col("table_name") == table) & F.col("field").isNotNull()).groupBy("field").agg(F.collect_set("kind").alias("kinds"), F.sum("n").alias("n"))
+    seen = have.where((F.col("table_name") == table) & F.col("field").isNotNull()).groupBy("field").agg(joined(F.col("kind")).alias("kind"), F.sum("n").alias("n"), F.count("kind").alias("typed"))
     later = {r.field: r.new_field for r in changes.where((F.col("table_name") == table) & (F.col("change") == "renamed")).collect()}
     out, taken = {}, {}
     for r in seen.orderBy(F.desc("n"), "field").limit(MOST_FIELDS).collect():
@@ -180,9 +184,9 @@ def union_schema(have: DataFrame, changes: DataFrame, table: str) -> list[tuple[
             continue
         names, ks = out.setdefault(head, ([], set()))
         names.append(r.field)
-        ks.update(r.kinds)
-    lattice = lambda ks: next(iter(ks)) if len(ks) == 1 else "number" if ks and ks <= {"boolean", "number"} else "text"
-    return [(f, lattice(ks), sorted(names, key=lambda n: (n != f, n))) for f, (names, ks) in sorted(out.items())]
+        ks |= {r.kind} if r.typed else set()
+    over = lambda ks: next(iter(ks)) if len(ks) == 1 else "number" if ks and ks <= {"boolean", "number"} else "text"  # noqa: E731 - joined() over the names of a renamed field
+    return [(f, over(ks), sorted(names, key=lambda n: (n != f, n))) for f, (names, ks) in sorted(out.items())]
 
 
 def unified(rows: DataFrame, schema: list[tuple[str, str, list[str]]], table: str, rest: bool = False) -> DataFrame:

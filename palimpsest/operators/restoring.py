@@ -19,23 +19,32 @@ def envelopes(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
     one = one.groupBy("segment").agg(F.max_by(F.struct("table_name", "rows"), F.size("rows")).alias("s")).select("segment", "s.table_name", F.posexplode("s.rows").alias("at", "text"))
     rows = with_body(one)
     op = F.coalesce(F.lower(F.trim(F.try_variant_get("v0", "$.op", "string"))), F.lit("insert"))
-    return with_key(once(rows, op=F.when(F.schema_of_variant("v") != "VOID", op)), tracked).select("segment", "table_name", "at", "op", "pk", "v")
+    return with_key(once(rows, op=F.when(F.col("v").isNotNull() & ~F.is_variant_null("v"), op)), tracked).select("segment", "table_name", "at", "op", "pk", "v")
 
 
-def live_rows(entries: DataFrame, events: DataFrame, strict: bool = True) -> DataFrame:
-    """(manifest, table_name, pk, row) live under each manifest: its segments' envelopes folded in order (entry, element).
+def live_places(entries: DataFrame, events: DataFrame, strict: bool = True) -> DataFrame:
+    """(manifest, table_name, pk, segment, at): where the row of each key live under each manifest is stored.
 
-    entries: (manifest, pos, segment); events: envelopes(). Per key the last envelope holds, a delete leaves nothing, an
-    insert after it revives the key. With `strict` an envelope of unknown op or without key fails the job.
+    entries: (manifest, pos, segment); events: envelopes(). The envelopes of a manifest's segments are folded in order
+    (entry, element) by place alone. Per key the last envelope holds, a delete leaves nothing, an insert after it revives
+    the key. With `strict` an envelope of unknown op or without key fails the job.
     """
     if strict:
         events = refuse(events, ~F.coalesce(F.col("op").isin(*OPS), F.lit(False)), F.concat(F.lit("unknown op in segment "), F.col("segment")))
         events = refuse(events, F.col("pk").isNull(), F.concat(F.lit("no key in segment "), F.col("segment")))
     else:
         events = events.where(F.col("op").isin(*OPS) & F.col("pk").isNotNull())
-    rows = entries.select("manifest", "pos", "segment").join(events.withColumn("row", F.to_json("v")).drop("v"), "segment")
-    last = rows.groupBy("manifest", "table_name", "pk").agg(F.max(F.struct("pos", "at", "op", "row")).alias("e"))
-    return last.where("e.op <> 'delete'").select("manifest", "table_name", "pk", F.col("e.row").alias("row"))
+    # of several envelopes of a segment for one key the last decides, whatever the manifest: they fold before they multiply
+    one = events.groupBy("segment", "table_name", "pk").agg(F.max(F.struct("at", (F.col("op") == "delete").alias("gone"))).alias("e")).select("segment", "table_name", "pk", "e.*")
+    rows = entries.select("manifest", "pos", "segment").join(one, "segment")
+    last = rows.groupBy("manifest", "table_name", "pk").agg(F.max(F.struct("pos", "at", "gone", "segment")).alias("e"))
+    return last.where("not e.gone").select("manifest", "table_name", "pk", "e.segment", "e.at")
+
+
+def live_rows(entries: DataFrame, events: DataFrame, strict: bool = True) -> DataFrame:
+    """(manifest, table_name, pk, row) live under each manifest: live_places() with the rows, which are fetched for the places that hold alone."""
+    values = events.select("segment", "at", F.to_json("v").alias("row"))
+    return live_places(entries, events, strict).join(values, ["segment", "at"]).select("manifest", "table_name", "pk", "row")
 
 
 def forward_record(commits: DataFrame, tip: DataFrame, target: DataFrame, author: str, at: str) -> DataFrame:

@@ -47,28 +47,41 @@ def against_parent(commits: DataFrame) -> DataFrame:
 
 def tree_diffs(commits: DataFrame, tree: str) -> DataFrame:
     """(commit_hash, name, change, from, to): files of every commit against those of its parent."""
-    entries = tree_entries(commits, tree).select("commit_hash", "name", "hash")
-    links = against_parent(one_each(commits))
-    old = links.join(entries.withColumnRenamed("commit_hash", "parent"), "parent").select("commit_hash", "name", "hash")
+    return _tree_diffs(commits, [tree], against_parent(_scalars(commits))).drop("dimension")
+
+
+def _tree_diffs(commits: DataFrame, trees: list[str], links: DataFrame) -> DataFrame:
+    """tree_diffs() of several trees at once, with `dimension`: one comparison for all of them."""
+    each = [tree_entries(commits, t).select(F.lit(t).alias("dimension"), "commit_hash", "name", "hash") for t in trees]
+    entries = each[0]
+    for e in each[1:]:
+        entries = entries.unionByName(e)
+    old = links.join(entries.withColumnRenamed("commit_hash", "parent"), "parent").drop("parent")
     new = links.select("commit_hash").join(entries, "commit_hash")
-    return diff_entries(old, new, ["commit_hash", "name"])
+    return diff_entries(old, new, ["commit_hash", "dimension", "name"])
+
 
+def _scalars(commits: DataFrame) -> DataFrame:
+    """one_each() without the trees, which are not moved then."""
+    none = F.lit(None).cast("map<string,string>")
+    return one_each(commits.withColumns({"prompts": none, "tools": none})).drop("prompts", "tools")
 
-def scalar_diffs(commits: DataFrame) -> DataFrame:
+
+def scalar_diffs(commits: DataFrame, c: DataFrame | None = None) -> DataFrame:
     """(commit_hash, dimension, from, to): single-valued dimensions of every commit against its parent."""
-    c = one_each(commits)
+    c = _scalars(commits) if c is None else c
     names = ("code_sha", "model", "memory_snapshot", "schema_version")
     old = c.select(F.col("commit_hash").alias("parent"), *[F.col(n).alias(f"{n}_old") for n in names])
-    both = against_parent(c).join(c.select("commit_hash", *names), "commit_hash").join(old, "parent")
+    both = c.select("commit_hash", "parent", *names).join(old, "parent")
     each = F.array(*[F.struct(F.lit(n).alias("dimension"), changed(F.col(f"{n}_old"), F.col(n)).alias("c")) for n in names])
     return both.select("commit_hash", F.inline(F.filter(each, lambda x: x.c.isNotNull()))).select("commit_hash", "dimension", "c.from", "c.to")
 
 
 def commit_diffs(commits: DataFrame) -> DataFrame:
     """(commit_hash, dimension, name, change, from, to): all six dimensions of every commit against its parent."""
-    trees = [tree_diffs(commits, t).select("commit_hash", F.lit(t).alias("dimension"), "name", "change", "from", "to") for t in ("prompts", "tools")]
-    s = scalar_diffs(commits).select("commit_hash", "dimension", F.lit("").alias("name"), F.lit("modified").alias("change"), "from", "to")
-    return trees[0].unionByName(trees[1]).unionByName(s)
+    c = _scalars(commits).select("commit_hash", "parent", "code_sha", "model", "memory_snapshot", "schema_version")
+    trees = _tree_diffs(commits, ["prompts", "tools"], against_parent(c)).select("commit_hash", "dimension", "name", "change", "from", "to")
+    return trees.unionByName(scalar_diffs(commits, c).select("commit_hash", "dimension", F.lit("").alias("name"), F.lit("modified").alias("change"), "from", "to"))
 
 
 def render(change: Column, name: Column) -> Column:

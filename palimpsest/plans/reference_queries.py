@@ -757,7 +757,7 @@ LIVE = f"""(SELECT manifest, table_name, pk, arg_max(op, row(pos, "at")) AS op F
 @query(f"SELECT manifest, table_name, pk FROM {LIVE} WHERE op <> 'delete'")
 def vc_restore(spark, d):
     events = restoring.envelopes(table(spark, d, "segments"), tracked_of(spark, d))
-    return restoring.live_rows(manifest_entries(spark, d), events).select("manifest", "table_name", "pk")
+    return restoring.live_places(manifest_entries(spark, d), events).select("manifest", "table_name", "pk")
 
 
 @query(f"SELECT manifest, table_name, count(*) FILTER (op <> 'delete') AS live_count, count(*) AS n_keys FROM {LIVE} GROUP BY 1, 2")
