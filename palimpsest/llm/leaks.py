@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import codes
 
 #: A case is a stretch of this many consecutive words; passages of items have this length and begin at every word.
@@ -26,8 +27,12 @@ LEAST_SPAN, LEAST_SHARE = 14, 0.8
 INSERTED, INSERTED_SHARE = 1, 0.9
 #: Slices of very long texts overlap by this many characters, more than any stretch that is looked at.
 OVERLAP = 4_000
-#: Items are searched in blocks of this many, so what is sent to executors is bounded.
-ITEMS_AT_ONCE = 4_000
+#: Items are searched in blocks of this many, so what is sent to executors is bounded (about 40 KB an item).
+ITEMS_AT_ONCE = 2_000
+#: Slots of the universe to a shingle of the items, and the least and most (as powers of two) of them; the largest takes 128 MB.
+SLOTS, LEAST_POWER, MOST_POWER = 32, 20, 30
+#: Words around a window that are kept with it for the second pass, where items go in several blocks.
+AROUND = 120
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -71,23 +76,48 @@ class Query:
     item: np.ndarray
     words: list[np.ndarray]  # hashes of each item's words
     strings: list[list[str]]
-    sets: list[np.ndarray]
+    sizes: np.ndarray  # number of shingles of each passage
     values: list[np.ndarray]
     passages: list[np.ndarray]
     bitmap: np.ndarray
-    universe: np.ndarray  # by the low bits of a shingle: whether any passage may have it
+    universe: Universe
     known: np.ndarray  # all shingles of passages, sorted
     members: np.ndarray  # per passage the places of its shingles in known, padded with their number
 
 
-#: Low bits of shingles that index the universe.
-LOW = np.uint64((1 << 20) - 1)
+@dataclass(frozen=True)
+class Universe:
+    """By the low bits of a shingle, whether any passage may have it; bits are packed where there are many."""
+
+    slots: np.ndarray
+    low: np.uint64
+    packed: bool
+
+    def may_have(self, sh: np.ndarray) -> np.ndarray:
+        at = (sh & self.low).astype(np.int64)
+        if self.packed:
+            return ((self.slots[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        return self.slots[at]
+
+
+def universe_of(known: np.ndarray) -> Universe:
+    """The universe of some shingles, SLOTS for each, so that it lets the same share of others pass for any number of items."""
+    power = min(max(LEAST_POWER, int(len(known) * SLOTS).bit_length()), MOST_POWER)
+    low = np.uint64((1 << power) - 1)
+    at = (known & low).astype(np.int64)
+    if power <= 24:
+        slots = np.zeros(1 << power, bool)
+        slots[at] = True
+        return Universe(slots, low, False)
+    slots = np.zeros(1 << (power - 3), np.uint8)
+    np.bitwise_or.at(slots, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return Universe(slots, low, True)
 
 
 def build_query(texts: list[str], t: codes.Tables) -> Query:
     w = codes.folded_words(texts, t)
     a, b = _functions()
-    item, words, strings, sets, sigs = [], [], [], [], [np.zeros((0, HASHES), np.uint64)]
+    item, words, strings, sets, sigs = [], [], [], [], [np.zeros((0, HASHES), np.uint32)]
     over = np.lib.stride_tricks.sliding_window_view
     bounds = np.searchsorted(w.text, np.arange(len(texts) + 1))
     for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
@@ -99,8 +129,8 @@ def build_query(texts: list[str], t: codes.Tables) -> Query:
         sh = shingles(h, np.zeros(len(h), np.int64))
         held = np.concatenate((over(sh[0, :-1], STRETCH - 1), over(sh[1, :-2], STRETCH - 2)), axis=1)  # per passage
         with np.errstate(over="ignore"):
-            sigs.append(np.stack([((held * x + y) >> np.uint64(16)).min(axis=1) for x, y in zip(a, b)], axis=1))
-        sets += [np.unique(x) for x in held]
+            sigs.append(np.stack([((held * x + y) >> np.uint64(16)).min(axis=1).astype(np.uint32) for x, y in zip(a, b)], axis=1))
+        sets.append(np.sort(held, axis=1))
         item += [i] * len(held)
     sig = np.concatenate(sigs)
     bitmap = np.zeros((HASHES, 65_536), bool)
@@ -108,26 +138,19 @@ def build_query(texts: list[str], t: codes.Tables) -> Query:
     for k in range(HASHES):
         order = np.argsort(sig[:, k], kind="stable")
         values.append(sig[order, k])
-        passages.append(order)
-        bitmap[k, (sig[:, k] & np.uint64(65_535)).astype(np.int64)] = True
-    universe = np.zeros(int(LOW) + 1, bool)
-    for x in sets:
-        universe[(x & LOW).astype(np.int64)] = True
-    known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
-    members = np.full((len(sets), 2 * STRETCH), len(known), np.int64)
-    for i, x in enumerate(sets):
-        members[i, : len(x)] = np.searchsorted(known, x)
-    return Query(np.array(item, np.int64), words, strings, sets, values, passages, bitmap, universe, known, members)
-
-
-def candidate_pairs(w: codes.Words, q: Query) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, last word + 1): where a window holds enough of a passage of the item, by exact containment.
-
-    Windows with fewer shingles of any passage than verification asks of one are passed over first; that loses nothing.
-    """
+        passages.append(order.astype(np.int32))
+        bitmap[k, sig[:, k] & 65_535] = True
+    ordered = np.concatenate(sets) if sets else np.zeros((0, 2 * STRETCH - 3), np.uint64)
+    again = np.zeros(ordered.shape, bool)
+    again[:, 1:] = ordered[:, 1:] == ordered[:, :-1]
+    known = np.unique(ordered)
+    members = np.where(again, len(known), np.searchsorted(known, ordered)).astype(np.int32)
+    return Query(np.array(item, np.int64), words, strings, (~again).sum(axis=1), values, passages, bitmap, universe_of(known), known, members)
+
+
+def likely_windows(w: codes.Words, universe: Universe, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, starts, ends): the windows that hold at least `least` shingles that any passage may have."""
     n = len(w.hashes)
-    if not n or not len(q.item):
-        return []
     sh = shingles(w.hashes, w.text)
     first = np.flatnonzero(np.diff(w.text, prepend=-1))  # first word of each text
     start_of = np.repeat(first, np.diff(np.append(first, n)))
@@ -135,24 +158,35 @@ def candidate_pairs(w: codes.Words, q: Query) -> list[tuple[int, int, int, int]]
     more = np.append(w.text[starts[1:]] == w.text[starts[:-1]], False)  # the next block is of the same text
     ends = np.append(starts[1:], n)
     window_end = np.where(more, np.append(ends[1:], n), ends)
-    known = q.universe[(sh & LOW).astype(np.int64)] & (sh > 0)
+    known = universe.may_have(sh) & (sh > 0)
     shared = np.add.reduceat(known.sum(axis=0), starts)
     shared = shared + np.where(more, np.append(shared[1:], 0), 0)
-    keep = np.flatnonzero(shared >= CONTAINED * min(map(len, q.sets)))
-    if not len(keep):
+    keep = shared >= least
+    return sh, starts[keep], window_end[keep]
+
+
+def candidate_pairs(w: codes.Words, q: Query) -> list[tuple[int, int, int, int]]:
+    """(text, item, first word, last word + 1): where a window holds enough of a passage of the item, by exact containment.
+
+    Windows with fewer shingles of any passage than verification asks of one are passed over first; that loses nothing.
+    """
+    if not len(w.hashes) or not len(q.item):
+        return []
+    sh, starts, window_end = likely_windows(w, q.universe, CONTAINED * q.sizes.min())
+    if not len(starts):
         return []
-    lengths = window_end[keep] - starts[keep]
-    at = np.repeat(starts[keep] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+    lengths = window_end - starts
+    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
     held, edges = sh[:, at], np.concatenate(([0], np.cumsum(lengths)[:-1]))
     sizes = np.add.reduceat((held > 0).sum(axis=0), edges)
     a, b = _functions()
     hits = []
     for k in range(HASHES):
-        m = minima(held, edges, a[k], b[k])
-        x = np.flatnonzero(q.bitmap[k, (m & np.uint64(65_535)).astype(np.int64)])
+        m = minima(held, edges, a[k], b[k]).astype(np.uint32)
+        x = np.flatnonzero(q.bitmap[k, m & 65_535])
         lo, hi = np.searchsorted(q.values[k], m[x], "left"), np.searchsorted(q.values[k], m[x], "right")
         for y, l, h in zip(x[hi > lo], lo[hi > lo], hi[hi > lo]):
-            hits.append(np.stack((np.full(h - l, y), q.passages[k][l:h])))
+            hits.append(np.stack((np.full(h - l, y), q.passages[k][l:h].astype(np.int64))))
     if not hits:
         return []
     pairs = np.concatenate(hits, axis=1)
@@ -163,7 +197,7 @@ def candidate_pairs(w: codes.Words, q: Query) -> list[tuple[int, int, int, int]]
     contained = exact_containment(held, edges, lengths, window, passage, q) >= CONTAINED
     out: dict[tuple[int, int], list[int]] = {}
     for x, p in zip(window[contained], passage[contained]):
-        lo, hi = int(starts[keep[x]]), int(window_end[keep[x]])
+        lo, hi = int(starts[x]), int(window_end[x])
         span = out.setdefault((int(w.text[lo]), int(q.item[p])), [lo, hi])
         span[0], span[1] = min(span[0], lo), max(span[1], hi)
     return [(text, item, lo, hi) for (text, item), (lo, hi) in out.items()]
@@ -171,8 +205,8 @@ def candidate_pairs(w: codes.Words, q: Query) -> list[tuple[int, int, int, int]]
 
 def exact_containment(held: np.ndarray, edges: np.ndarray, lengths: np.ndarray, window: np.ndarray, passage: np.ndarray, q: Query) -> np.ndarray:
     """Share of each passage's shingles that its window holds; windows in blocks, so that memory is bounded."""
-    out, block = np.zeros(len(window)), 256
-    sizes = np.array([len(x) for x in q.sets])
+    out = np.zeros(len(window))
+    block = max(1, min(256, 30_000_000 // (len(q.known) + 1)))  # present takes 30 MB at most
     for lo in range(0, len(edges), block):
         a, b = np.searchsorted(window, [lo, lo + block])
         if a == b:
@@ -186,7 +220,7 @@ def exact_containment(held: np.ndarray, edges: np.ndarray, lengths: np.ndarray,
         present[owner[c], at[r, c]] = True
         for i in range(a, b, 65_536):
             j = min(i + 65_536, b)
-            out[i:j] = present[window[i:j, None] - lo, q.members[passage[i:j]]].sum(axis=1) / sizes[passage[i:j]]
+            out[i:j] = present[window[i:j, None] - lo, q.members[passage[i:j]]].sum(axis=1) / q.sizes[passage[i:j]]
     return out
 
 
@@ -307,20 +341,55 @@ def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -
     return r0 < r1 and longest_stretch(m[r0:r1]) >= LEAST_SPAN
 
 
+def likely_parts(texts: list[str | None], universe: Universe, least: float, t: codes.Tables) -> Iterator[tuple[int, str]]:
+    """(text, part): the words around likely windows, folded; windows less than AROUND words apart share a part."""
+    for index, group in codes.groups(texts, OVERLAP):
+        w = codes.folded_words(group, t)
+        if not len(w.hashes):
+            continue
+        _, starts, ends = likely_windows(w, universe, least)
+        if not len(starts):
+            continue
+        lo = np.maximum(starts - AROUND, np.searchsorted(w.text, w.text[starts]))
+        hi = np.minimum(ends + AROUND, np.searchsorted(w.text, w.text[starts], "right"))
+        new = np.concatenate(([True], (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (w.text[starts[1:]] != w.text[starts[:-1]])))
+        at = np.flatnonzero(new)
+        for a, b in zip(at, [*at[1:], len(lo)]):
+            yield index[w.text[starts[a]]], " ".join(w.word(j) for j in range(lo[a], hi[a:b].max()))
+
+
 def find(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents (doc_id, text) that hold a stretch of at least fifteen consecutive words of an item (item_id, text).
 
     The passages of the items are the queries. Each document is cut into windows, whose MinHash signatures are compared
     with those of the passages; how many minima must agree depends on the partition of the window's size. Candidates are
-    verified by exact containment of the passage's shingles, then by alignment in order. Every document passes whole; items
-    go in blocks of ITEMS_AT_ONCE. Null and short texts hold nothing; rows without id are left out. Nothing is shuffled but the pairs found.
+    verified by exact containment of the passage's shingles, then by alignment in order. Every document passes whole.
+    Items go in blocks of ITEMS_AT_ONCE; where there are several, one pass over the documents keeps what is around windows
+    that hold enough shingles of any item at all, and the blocks are searched in that. Null and short texts hold nothing;
+    rows without id are left out. Nothing is shuffled but the pairs found.
     """
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
     n_blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
     t = codes.tables()
+    part = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    block = lambda k: items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()  # noqa: E731 - about ITEMS_AT_ONCE rows
+    if n_blocks > 1:
+        known, least = np.zeros(0, np.uint64), float("inf")
+        for k in range(n_blocks):
+            query = build_query([r.text for r in block(k)], t)
+            known, least = np.union1d(known, query.known), min(least, CONTAINED * query.sizes.min(initial=2 * STRETCH))
+        universe = universe_of(known)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                docs = b.column("doc_id").to_pylist()
+                found = [(docs[i], text) for i, text in likely_parts(b.column("text").to_pylist(), universe, least, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], ["doc_id", "text"])
+
+        part = cut(part.mapInArrow(keep, "doc_id long, text string"))
     found = None
     for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()  # about ITEMS_AT_ONCE rows
+        rows = block(k)
         ids, query = np.array([r.item_id for r in rows], np.int64), build_query([r.text for r in rows], t)
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, query=query) -> Iterator[pa.RecordBatch]:
@@ -335,6 +404,6 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
                             out_i.append(int(ids[item]))
                 yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_i, pa.int64())], ["doc_id", "item_id"])
 
-        part = documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long")
-        found = part if found is None else found.unionByName(part)
+        pairs = part.mapInArrow(search, "doc_id long, item_id long")
+        found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from conftest import got
 
 from palimpsest.llm import codes, leaks
@@ -67,6 +68,31 @@ def test_items_in_blocks(spark, monkeypatch):
     assert run(spark, [(i, doc(t, i)) for i, t in ITEMS.items()]) == {(i, i) for i in ITEMS}
 
 
+def test_blocks_find_what_one_block_finds(spark, monkeypatch):
+    """Altered, inserted and long-insertion cases through the pass that keeps likely parts, against the search of all items at once."""
+    r = random.Random(11)
+    docs = []
+    for k in range(60):
+        it = ITEMS[r.randrange(1, 6)]
+        n, s = r.randrange(12, 40), r.randrange(0, 20)
+        stretch = [("zzz" if r.random() < 0.12 else w) for w in it[s : s + n]]
+        if k % 3 == 0:
+            stretch[7:7] = [FILL[i % len(FILL)] for i in range(r.randrange(1, 33))]
+        docs.append((k, doc(stretch, k) + (" " + doc(ITEMS[1 + k % 5][:20], k) if k % 7 == 0 else "")))
+    whole = run(spark, docs)
+    monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 2)
+    assert run(spark, docs) == whole and len(whole) > 40
+
+
+def test_packed_universe():
+    r = np.random.default_rng(1)
+    known, other = (r.integers(0, 1 << 63, 700_000, dtype=np.uint64) for _ in range(2))
+    u = leaks.universe_of(known)
+    assert u.packed and u.may_have(known).all() and u.may_have(other).mean() < 0.05
+    small = leaks.universe_of(known[:1000])
+    assert not small.packed and small.may_have(known[:1000]).all() and small.may_have(other).mean() < 0.01
+
+
 def test_search_misses_nothing_that_brute_force_finds():
     """All pairs of small documents and items, aligned without any candidate search."""
     t = codes.tables()
