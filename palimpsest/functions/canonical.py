@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from xxhash import xxh3_64_intdigest
 
-_NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?")
+_INTEGER, _NUMBER = re.compile(r"-?(0|[1-9][0-9]*)"), re.compile(r"[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]{1,3})?")
+_PLACES, _EXACT = Decimal(1).scaleb(-12), Context(prec=60)
 
 
 def number(x: float) -> int | float:
@@ -38,24 +40,26 @@ def value_hash(x: object) -> int:
 
 
 def plain(key: object) -> str | None:
-    """Plain text of a key; as functions.keys.plain_key does it for columns."""
+    """Plain text of a key; the same as functions.keys.plain_key() gives for columns."""
     if key is None or isinstance(key, (dict, list)):
         return None
     if isinstance(key, bool):
         return "true" if key else "false"
-    if isinstance(key, str):
-        t = key.strip(" ")
-        if not t:
-            return None
-        if _NUMBER.fullmatch(t) and not t.lstrip("-").isdigit():
-            try:
-                f = float(t)
-            except (ValueError, OverflowError):
-                return key
-            return str(int(f)) if f.is_integer() and abs(f) < 1e15 else repr(f)
-        return t if t.lstrip("-").isdigit() else key
-    n = number(key)
-    return str(n)
+    if isinstance(key, int):
+        return str(key)
+    text = key if isinstance(key, str) else repr(key)
+    t = text.strip(" ")
+    if not t:
+        return None
+    if _INTEGER.fullmatch(t):
+        return t
+    if not _NUMBER.fullmatch(t):
+        return text
+    d = Decimal(t)
+    if d.adjusted() > 25:  # beyond decimal(38, 12)
+        return text
+    d = d.quantize(_PLACES, ROUND_HALF_UP, _EXACT)
+    return format(d, "f").rstrip("0").rstrip(".") if d else "0"
 
 
 def _without_nulls(pairs: list[tuple[str, object]]) -> dict:
