@@ -14,12 +14,13 @@ OPS = ("insert", "update", "delete")
 
 
 def envelopes(segments: DataFrame, tracked: list[Tracked]) -> DataFrame:
-    """(segment, table_name, at, op, pk, v) of every element of every stored segment; of repeated segments the fullest holds."""
+    """(segment, table_name, at, op, pk, empty, v) of every element of every stored segment; of repeated segments the fullest holds. empty: a row without any field."""
     one = segments.select(reference(F.col("segment")).alias("segment"), resolve(F.col("table_name"), tracked).alias("table_name"), "rows").where("segment is not null and rows is not null")
     one = one.groupBy("segment").agg(F.max_by(F.struct("table_name", "rows"), F.size("rows")).alias("s")).select("segment", "s.table_name", F.posexplode("s.rows").alias("at", "text"))
     rows = with_body(one)
     op = F.coalesce(F.lower(F.trim(F.try_variant_get("v0", "$.op", "string"))), F.lit("insert"))
-    return with_key(once(rows, op=F.when(F.col("v").isNotNull() & ~F.is_variant_null("v"), op)), tracked).select("segment", "table_name", "at", "op", "pk", "v")
+    keyed = with_key(once(rows, op=F.when(F.col("v").isNotNull() & ~F.is_variant_null("v"), op)), tracked)
+    return keyed.select("segment", "table_name", "at", "op", "pk", F.coalesce(F.when(F.col("pk").isNull(), F.to_json("v") == "{}"), F.lit(False)).alias("empty"), "v")
 
 
 def live_places(entries: DataFrame, events: DataFrame, strict: bool = True) -> DataFrame:
@@ -27,8 +28,10 @@ def live_places(entries: DataFrame, events: DataFrame, strict: bool = True) -> D
 
     entries: (manifest, pos, segment); events: envelopes(). The envelopes of a manifest's segments are folded in order
     (entry, element) by place alone. Per key the last envelope holds, a delete leaves nothing, an insert after it revives
-    the key. With `strict` an envelope of unknown op or without key fails the job.
+    the key. An upsert of an empty row is skipped. With `strict` an envelope of unknown op or without key, an empty delete
+    among them, fails the job.
     """
+    events = events.where(~(F.col("empty") & F.coalesce(F.col("op").isin("insert", "update"), F.lit(False))))
     if strict:
         events = refuse(events, ~F.coalesce(F.col("op").isin(*OPS), F.lit(False)), F.concat(F.lit("unknown op in segment "), F.col("segment")))
         events = refuse(events, F.col("pk").isNull(), F.concat(F.lit("no key in segment "), F.col("segment")))

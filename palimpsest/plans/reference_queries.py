@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import documents, scalars
 from ..functions.keys import reference
 from ..functions.names import bare_name, normal_name, resolve, tracked_list
 from ..operators import changes, folds, hierarchy, restoring, scanning, snapshots, trees
-from ..session import checkpoint_folder, cut, table
+from ..session import cut, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,7 +112,7 @@ def snk_segment(spark, d):
     from ..store import write_segment
 
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    path = write_segment(rows, os.path.join(checkpoint_folder(spark), "segments"), "part", 0)
+    path = write_segment(rows, scratch(spark, "segments"), "part", 0)
     return spark.read.parquet(path)
 
 
@@ -392,6 +391,13 @@ def agg_empty_row(spark, d):
     return e.groupBy("table_name", "op").agg(F.count("*").alias("n"), F.count_if(width == 0).alias("n_empty"), F.count_if(width == 1).alias("n_key_only"))
 
 
+@query(f"SELECT table_name, count(*) FILTER (n = 0 AND op <> 'delete') AS n_skipped, count(*) FILTER (n = 0 AND op = 'delete') AS n_refused, count(*) AS n FROM (SELECT table_name, op, len(json_keys(row)) AS n FROM {ELEMENTS}) GROUP BY 1")
+def agg_empty_effect(spark, d):
+    """What a replay makes of rows without any field: upserts are skipped, deletes refused."""
+    e, delete = restoring.envelopes(table(spark, d, "segments"), tracked_of(spark, d)), F.col("op") == "delete"
+    return e.groupBy("table_name").agg(F.count_if(F.col("empty") & ~delete).alias("n_skipped"), F.count_if(F.col("empty") & delete).alias("n_refused"), F.count("*").alias("n"))
+
+
 RUNNING = "(SELECT event_id, strlen(coalesce(props, '')) AS size, sum(strlen(coalesce(props, ''))) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events)"
 
 

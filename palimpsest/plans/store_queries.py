@@ -12,7 +12,7 @@ from .. import approval
 from ..functions import scalars
 from ..functions.names import tracked_list
 from ..operators import trees
-from ..session import cut, table
+from ..session import cut, scratch, table
 from ..shared import SharedPath
 from ..sources import prompt_files
 from ..store import Checkpointer, Store
@@ -25,7 +25,7 @@ NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
 def _store(spark: SparkSession) -> Store:
     """A store in the shared folder."""
-    s = Store(spark, capture.scratch(spark, "store"), {"customer": "c_custkey", "part": "p_partkey"}, approval.Gate(b"key"))
+    s = Store(spark, scratch(spark, "store"), {"customer": "c_custkey", "part": "p_partkey"}, approval.Gate(b"key"))
     s.init()
     return s
 
@@ -51,7 +51,7 @@ def src_prompt_dir(spark: SparkSession, d: str) -> DataFrame:
     """The files of the last commit on main, written to a folder as an agent's working copy has them, and read back."""
     tip = commits_of(spark, d).where("branch = 'main'").orderBy(F.desc("committed_at"), "commit_hash").limit(1).select("commit_hash")
     wanted = trees.tree_entries(table(spark, d, "commits"), "prompts").join(F.broadcast(tip), "commit_hash").select("name", F.coalesce("text", F.lit("")).alias("text")).collect()  # one commit
-    folder = SharedPath(spark, capture.scratch(spark, "prompts"))
+    folder = SharedPath(spark, scratch(spark, "prompts"))
     folder.mkdir()
     for r in wanted:
         (folder / r.name).write_text(r.text)
@@ -72,7 +72,7 @@ def st_capture(spark: SparkSession, d: str) -> DataFrame:
 
 def st_drain_strict(spark: SparkSession, d: str) -> DataFrame:
     """A strict drain of the log, which holds changes that cannot be applied: it fails and writes nothing."""
-    out = capture.scratch(spark, "strict")
+    out = scratch(spark, "strict")
     try:
         capture.drain(capture.read_feed(spark, f"{d}/agentic_change_lo[g].parquet"), tracked_list(table(spark, d, "tracked_tables")), out, strict=True).awaitTermination()
         outcome = "drained"
@@ -83,7 +83,7 @@ def st_drain_strict(spark: SparkSession, d: str) -> DataFrame:
 
 def st_seed(spark: SparkSession, d: str) -> DataFrame:
     """A sink seeded with a baseline: its refs come first, later batches follow in seal order."""
-    sink = capture.SegmentSink(capture.scratch(spark, "seed"), [{"table_name": "customer", "seal_seq": 0, "pk_lo": "0", "pk_hi": "0", "event_count": 0}])
+    sink = capture.SegmentSink(scratch(spark, "seed"), [{"table_name": "customer", "seal_seq": 0, "pk_lo": "0", "pk_hi": "0", "event_count": 0}])
     sink(_states(spark, d)[1].select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("pk"), "c_name"), 0)
     return sink.manifest(spark).select("table_name", F.col("seal_seq").cast("int").alias("seal_seq"), "event_count")
 

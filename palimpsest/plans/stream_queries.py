@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import tracked_list
-from ..session import table
+from ..session import scratch, table
 from ..streaming import capture
 from .reference_queries import PROBLEM, RESOLVED, clean
 
@@ -17,7 +17,7 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drain(spark: SparkSession, d: str) -> str:
-    out = capture.scratch(spark, "drain")
+    out = scratch(spark, "drain")
     capture.drain(_feed(spark, d), tracked_list(table(spark, d, "tracked_tables")), out).awaitTermination()
     return out
 
@@ -37,14 +37,14 @@ def st_ack(spark: SparkSession, d: str) -> DataFrame:
 
 def st_head_state(spark: SparkSession, d: str) -> DataFrame:
     changes = spark.readStream.schema("id long, given string, table_name string, op string, pk string, text string").option("recursiveFileLookup", True).parquet(f"{_drain(spark, d)}/changes")
-    out = capture.scratch(spark, "heads")
+    out = scratch(spark, "heads")
     sealed = capture.seal_heads(changes, 64 * 1024)
     sealed.writeStream.format("parquet").option("path", f"{out}/sealed").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(capture.SEALED).parquet(f"{out}/sealed")
 
 
 def st_take_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    out = capture.scratch(spark, "snapshot")
+    out = scratch(spark, "snapshot")
     sink = capture.SegmentSink(out)
     changes = spark.readStream.schema("id long, given string, table_name string, op string, pk string, text string").option("recursiveFileLookup", True).parquet(f"{_drain(spark, d)}/changes")
     changes.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()

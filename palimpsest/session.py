@@ -69,6 +69,13 @@ def cut_with(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict[str,
     return out, out.agg(*[c.alias(n) for n, c in aggregates.items()]).first().asDict()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, removed when the application ends."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _remove_at_end(spark, path)
+    return path
+
+
 _FOLDERS: set[str] = set()
 _SCOPES: list[list[tuple[str, DataFrame]]] = []
 

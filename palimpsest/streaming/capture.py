@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -18,7 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.names import Tracked
 from ..functions.scalars import canonical_pk
 from ..operators.restoring import classify_changes
-from ..session import checkpoint_folder
 
 FEED = "id long, table_name string, op string, row string, captured_at timestamp_ntz"
 
@@ -56,11 +53,6 @@ def drained(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{out}/changes"), spark.read.parquet(f"{out}/dead_letter")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints."""
-    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 SEALED = "table_name string, shard int, seal_seq int, pk_lo string, pk_hi string, event_count long, n_bytes long"
 _BOUND = "struct<t:boolean,n:double,k:string>"
 _ADDED = f"table_name string, shard int, id long, n_bytes long, key {_BOUND}"

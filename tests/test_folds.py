@@ -74,6 +74,8 @@ def test_restore_from_segments(spark):
     e = segments(spark, ("s0", ['{"id":1,"v":"a"}', '{"id":2,"v":"b"}']), ("s1", ['{"op":"update","row":{"id":1,"v":"a2"}}', '{"op":"delete","row":{"id":2}}']))
     entries = spark.createDataFrame([("m0", 0, "s0"), ("m1", 0, "s0"), ("m1", 1, "s1")], "manifest string, pos int, segment string")
     assert got(restoring.live_rows(entries, e)) == {("m0", "messages", "1", '{"id":1,"v":"a"}'), ("m0", "messages", "2", '{"id":2,"v":"b"}'), ("m1", "messages", "1", '{"id":1,"v":"a2"}')}
+    one = spark.createDataFrame([("m", 0, "s")], "manifest string, pos int, segment string")
+    assert got(restoring.live_rows(one, segments(spark, ("s", ['{"op":"insert","row":{}}', "{}", '{"id":4}'])))) == {("m", "messages", "4", '{"id":4}')}
     for broken in ('{"op":"merge","row":{"id":1}}', '{"op":"delete","row":{}}', '{"id":null}'):
         one = spark.createDataFrame([("m", 0, "s")], "manifest string, pos int, segment string")
         with pytest.raises(Exception, match="in segment s"):
