@@ -152,10 +152,17 @@ def sizes_of(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, size long")
 
 
+#: Most kinds of container; more are refused.
+MOST_CAPACITIES = 1_000
+
+
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
-    """(capacity, doc_id, piece, size): an item whole, or, where it exceeds the capacity by itself, in pieces that fill it, the last one with the rest."""
-    capacities = F.broadcast(containers.select(F.col("capacity").cast("long").alias("capacity")).where("capacity > 0").distinct())  # kinds of container
-    each = items.select("doc_id", F.col("size").cast("long").alias("size")).where("doc_id is not null and size > 0").crossJoin(capacities)
+    """(capacity, doc_id, piece, of, size): an item whole, or, where it exceeds the capacity by itself, in pieces that fill it, the last one with the rest."""
+    kinds = [r.capacity for r in containers.select(F.col("capacity").cast("long").alias("capacity")).where("capacity > 0").distinct().limit(MOST_CAPACITIES + 1).collect()]
+    if len(kinds) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} kinds of container")
+    capacity = F.explode(F.array(*[F.lit(c) for c in sorted(kinds)]).cast("array<bigint>"))
+    each = items.select("doc_id", F.col("size").cast("long").alias("size")).where("doc_id is not null and size > 0").withColumn("capacity", capacity)
     n = F.ceil(F.col("size") / F.col("capacity"))
     piece = F.explode(F.sequence(F.lit(1).cast("long"), n))
     return each.withColumn("piece", piece).withColumn("of", n).select("capacity", "doc_id", "piece", "of", F.when(F.col("piece") < F.col("of"), F.col("capacity")).otherwise(F.col("size") - (F.col("of") - 1) * F.col("capacity")).alias("size"))
