@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ HASHES, SOUGHT, CONTAINED = 32, 0.4, 0.3
 PARTITIONS = (8, 16, 32, 64)
 #: A stretch is accepted from this span of item words, of which this share agree (words at its ends may be altered).
 LEAST_SPAN, LEAST_SHARE = 14, 0.8
+#: So many matches in so many consecutive words, without any shift, are a case without further alignment.
+PLAIN = (14, 17)
 #: Cost, in matches, of the one insertion into a stretch that may have any length; then this share of its words agree.
 INSERTED, INSERTED_SHARE = 1, 0.9
 #: Slices of very long texts overlap by this many characters, more than any stretch that is looked at.
@@ -240,13 +243,13 @@ def alike(x: str, y: str) -> bool:
     return p + s >= longest - (2 if longest >= 8 else 1)
 
 
-def longest_run(m: np.ndarray) -> int:
-    """Longest diagonal run of matches: words in unbroken order."""
-    run, best = np.zeros(m.shape[1] + 1, np.int64), 0
-    for row in m:
-        run[1:] = np.where(row, run[:-1] + 1, 0)
-        best = max(best, int(run.max()))
-    return best
+def in_step(m: np.ndarray, hits: int, span: int) -> bool:
+    """Whether some `span` consecutive item words have `hits` matches at one and the same distance from the document's words."""
+    i, j = np.nonzero(m)
+    order = np.lexsort((i, j - i))
+    i, distance = i[order], (j - i)[order]
+    last = hits - 1
+    return len(i) >= hits and bool(((distance[last:] == distance[: len(i) - last]) & (i[last:] - i[: len(i) - last] < span)).any())
 
 
 def longest_stretch(m: np.ndarray) -> int:
@@ -306,6 +309,23 @@ def dense_rows(rows: np.ndarray, least: int) -> tuple[int, int]:
     return (max(0, at[0] - LEAST_SPAN), min(len(rows), at[-1] + 2 * LEAST_SPAN)) if len(at) else (0, 0)
 
 
+def in_order(m: np.ndarray, least: int) -> bool:
+    """Whether some LEAST_SPAN consecutive rows have `least` matches in order: a longest increasing subsequence per window of rows."""
+    places = [np.flatnonzero(row)[::-1].tolist() for row in m]
+    filled = np.concatenate(([0], np.cumsum([bool(p) for p in places])))
+    for r in range(max(len(places) - LEAST_SPAN + 1, 1)):
+        if filled[min(r + LEAST_SPAN, len(places))] - filled[r] < least:
+            continue
+        ends: list[int] = []  # least place at which a run of each length ends
+        for row in places[r : r + LEAST_SPAN]:
+            for j in row:
+                k = bisect_left(ends, j)
+                ends[k : k + 1] = [j]
+        if len(ends) >= least:
+            return True
+    return False
+
+
 def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -> bool:
     """The exact check: the item's words in order, altered letters, single other words and insertions allowed.
 
@@ -316,7 +336,7 @@ def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -
     m = q.words[item][:, None] == w.hashes[None, lo:hi]
     r0, r1 = dense_rows(m.any(axis=1), LEAST_SPAN // 2)
     m = m[r0:r1]
-    if longest_run(m) >= STRETCH:
+    if in_step(m, *PLAIN):
         return True
     if r0 == r1:
         return False
@@ -337,8 +357,9 @@ def verified(w: codes.Words, q: Query, text: int, item: int, lo: int, hi: int) -
                 # one of the outer two letters at either end is kept in all but the longest words
                 if -2 <= len(x) - len(y) <= 2 and (x[:2] == y[:2] or x[-2:] == y[-2:] or len(x) < 5) and alike(x, y):
                     m[i, j] = True
-    r0, r1 = dense_rows(m.any(axis=1), int(LEAST_SHARE * LEAST_SPAN) - 1)
-    return r0 < r1 and longest_stretch(m[r0:r1]) >= LEAST_SPAN
+    least = int(LEAST_SHARE * LEAST_SPAN) - 1  # what any stretch has in one of its windows
+    r0, r1 = dense_rows(m.any(axis=1), least)
+    return r0 < r1 and in_order(m[r0:r1], least) and longest_stretch(m[r0:r1]) >= LEAST_SPAN
 
 
 def likely_parts(texts: list[str | None], universe: Universe, least: float, t: codes.Tables) -> Iterator[tuple[int, str]]:

@@ -84,6 +84,14 @@ def test_blocks_find_what_one_block_finds(spark, monkeypatch):
     assert run(spark, docs) == whole and len(whole) > 40
 
 
+def test_quick_looks_at_a_match_matrix():
+    m = np.zeros((20, 30), bool)
+    m[np.arange(17), np.arange(17) + 5] = True
+    m[[3, 8, 12], [8, 13, 17]] = False
+    assert leaks.in_step(m, 14, 17) and not leaks.in_step(m, 15, 17) and not leaks.in_step(m, 14, 16) and not leaks.in_step(np.zeros((3, 3), bool), 1, 1)
+    assert leaks.in_order(m, 11) and not leaks.in_order(m[:, ::-1], 2) and not leaks.in_order(m[:5], 6)
+
+
 def test_packed_universe():
     r = np.random.default_rng(1)
     known, other = (r.integers(0, 1 << 63, 700_000, dtype=np.uint64) for _ in range(2))
